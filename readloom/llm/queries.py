@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from readloom.functions.text import label_sql, value_sql
-from readloom.llm import components, heavy_hitters, survivorship
+from readloom.llm import components, heavy_hitters, mixture, survivorship
 from readloom.session import table
 
 QUERIES: dict = {}
@@ -85,3 +85,29 @@ def p5_currency(spark, sf):
 )
 def p6_found(spark, sf):
     return components.linked_entries(table(spark, sf, "barcode_counts"), table(spark, sf, "edges"))
+
+
+def _mixture(spark, sf, balanced=True):
+    return mixture.Mixture(table(spark, sf, "documents"), table(spark, sf, "source_targets"), balanced=balanced)
+
+
+# SQL cannot tokenize; the cases don't hang on the tokenizer, so it measures texts by their bytes
+@query(
+    "p8_found",
+    f"""WITH d AS (SELECT {label_sql('source')} AS source, sum(strlen(text)) AS n FROM documents GROUP BY 1),
+    t AS (SELECT {label_sql('source')} AS source, target_share, max_repeats FROM source_targets)
+    SELECT source FROM t LEFT JOIN d USING (source) WHERE coalesce(n, 0) * max_repeats <
+    target_share * (SELECT sum(n) FROM d JOIN t USING (source))""",
+)
+def p8_found(spark, sf):
+    return _mixture(spark, sf, balanced=False).unreachable()
+
+
+@query("p8_mixture")
+def p8_mixture(spark, sf):
+    return _mixture(spark, sf).documents()
+
+
+@query("p8_shares")
+def p8_shares(spark, sf):
+    return _mixture(spark, sf).shares()

@@ -105,17 +105,19 @@ def learn_transitions(rows: DataFrame, fields: tuple[str, ...] = CURRENT) -> dic
     return total
 
 
-def precedence(counts: np.ndarray, support: int = MIN_SUPPORT) -> np.ndarray:
+def precedence(counts: np.ndarray, support: int = MIN_SUPPORT, deviations: float = 3.0) -> np.ndarray:
     """after[v, u]: a value v is more current than u. The relation is a strict partial order.
 
-    v follows u when u -> v was seen ``support`` times or more and more often than v -> u. Cycles
+    v follows u when u -> v was seen ``support`` times or more and so much more often than v -> u
+    that an even coin would need ``deviations`` standard deviations for it. Cycles
     are resolved by adding the relations in order of their margin and leaving out those that would
     close a cycle; the closure is kept.
     """
     n = len(counts)
     after = np.zeros((n, n), dtype=bool)
     margin = counts - counts.T
-    pairs = [(int(margin[u, v]), int(u), int(v)) for u, v in zip(*np.nonzero((margin > 0) & (counts >= support)))]
+    clear = (margin > deviations * np.sqrt(counts + counts.T)) & (counts >= support)
+    pairs = [(int(margin[u, v]), int(u), int(v)) for u, v in zip(*np.nonzero(clear))]
     for _, u, v in sorted(pairs, key=lambda x: (-x[0], x[1], x[2])):
         if after[u, v] or after[v, u]:
             continue
