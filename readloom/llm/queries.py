@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from readloom.functions.text import label_sql, value_sql
-from readloom.llm import components, heavy_hitters, mixture, survivorship
+from readloom.llm import components, heavy_hitters, leakage, mixture, survivorship
 from readloom.session import table
 
 QUERIES: dict = {}
@@ -111,3 +111,26 @@ def p8_mixture(spark, sf):
 @query("p8_shares")
 def p8_shares(spark, sf):
     return _mixture(spark, sf).shares()
+
+
+_SPOKEN = r"""regexp_replace(regexp_replace(regexp_replace(text, '(?m)^(?:[0-9]+\r?\n)?[^\n]*-->[^\n]*(?:\n|\z)', '', 'g'),
+    '<[^>]*>', ' ', 'g'), '\{[^}]*\}', ' ', 'g')"""
+_PASSAGES = r"""SELECT DISTINCT id, array_to_string(w[i:i+7], ' ') AS passage FROM (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM
+    (SELECT {id} AS id, list_filter(string_split_regex(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {table}))"""
+_LEAKS = f"""WITH d AS ({_PASSAGES.format(id='doc_id', text=_SPOKEN, table='documents')}),
+    e AS ({_PASSAGES.format(id='item_id', text='text', table='eval_items')})"""
+
+
+@query("p7_found", f"{_LEAKS} SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM d JOIN e USING (passage)")
+def p7_found(spark, sf):
+    return leakage.leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
+
+
+@query(
+    "p7_containment",
+    f"""{_LEAKS}, n AS (SELECT id, count(*) AS item_passages FROM e GROUP BY id)
+    SELECT d.id AS doc_id, e.id AS item_id, count(*) AS n_passages, any_value(item_passages) AS item_passages,
+    count(*) / any_value(item_passages) AS containment FROM d JOIN e USING (passage) JOIN n ON n.id = e.id GROUP BY 1, 2""",
+)
+def p7_containment(spark, sf):
+    return leakage.leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
