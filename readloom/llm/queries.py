@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from readloom.functions.text import label_sql, value_sql
-from readloom.llm import components, heavy_hitters, leakage, mixture, near_dup, survivorship
+from readloom.llm import components, encoding, heavy_hitters, leakage, mixture, near_dup, survivorship
 from readloom.session import table
 
 QUERIES: dict = {}
@@ -152,3 +152,13 @@ def p2_found(spark, sf):
 @query("p2_groups")
 def p2_groups(spark, sf):
     return near_dup.NearDuplicates(table(spark, sf, "reads")).groups()
+
+
+@query("p9_found")
+def p9_found(spark, sf):
+    return encoding.misread_documents(table(spark, sf, "documents")).select("doc_id")
+
+
+@query("p9_restored")
+def p9_restored(spark, sf):
+    return encoding.misread_documents(table(spark, sf, "documents"))
