@@ -20,8 +20,10 @@ UNKNOWN = math.log(KNOWN) - 3
 WILDCARD = -4.0
 #: What changing the channel between two words costs, within a line and across lines.
 SWITCH, SWITCH_LINE = -7.0, -2.0
-#: Evidence (a log-likelihood ratio) from which a document counts as damaged.
+#: Evidence (a log-likelihood ratio) from which a document counts as damaged: by misread UTF-8, whose byte
+#: sequences are hard to come by otherwise, and by other pairs of encodings.
 EVIDENCE = 4.0
+EVIDENCE_OTHER = 8.0
 BEAM = 12
 
 # Code pages in which UTF-8 is commonly misread, and (written in, read as) pairs of other code
@@ -209,20 +211,20 @@ class Decoder:
             return gain
         return min(gain, EVIDENCE / 2)
 
-    def damage(self, tokens: list[str]) -> tuple[float, list[int]]:
-        """Evidence that any of the words is misread, and the channels that account for it."""
+    def damage(self, tokens: list[str]) -> tuple[bool, list[int]]:
+        """Whether any of the words is misread, and the channels that account for it."""
         total: dict[int, float] = defaultdict(float)
-        certain = 0.0
+        certain = False
         for t in tokens:
             if t.isascii():
                 continue
             if LOST in t or _C1.search(t):
-                certain = 100.0
+                certain = True
             for k, _, _, e in self.candidates(t)[1]:
                 if e:
                     total[k] += e
-        top = sorted((k for k, e in total.items() if e >= EVIDENCE), key=lambda k: -total[k])[:4]
-        return max([certain, *total.values()]), top
+        enough = {k: e for k, e in total.items() if e >= (EVIDENCE if CHANNELS[k][0][0] == "utf_8" else EVIDENCE_OTHER)}
+        return bool(certain or enough), sorted(enough, key=lambda k: -enough[k])[:4]
 
     def fill(self, token: str) -> str:
         """A token with lost bytes, each read as one lost character: the most frequent word of this shape."""
@@ -315,8 +317,8 @@ def _repair(words: dict[str, float]):
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 pieces = _SPACE.split(text)
-                evidence, channels = decoder.damage(sorted({t for t in pieces[::2] if not t.isascii()}) if len(pieces) > 9 else pieces[::2])
-                if evidence >= EVIDENCE:
+                damaged, channels = decoder.damage(list(dict.fromkeys(pieces[::2])))
+                if damaged:
                     fixed, names, changed = decoder.restore(pieces, channels)
                     if not changed and LOST not in text and not _C1.search(text):
                         continue  # the words taken together speak against every channel
@@ -336,7 +338,8 @@ def misread_documents(docs: DataFrame) -> DataFrame:
     The corpus's own words are the source model: the shares of all words over all documents. A
     channel is a pair of encodings, written in and read as. A document is damaged if bytes were lost
     (U+FFFD), if it holds control characters that only a misread byte gives, or if undoing one
-    channel turns its words into known ones with a likelihood ratio of e^EVIDENCE or more. Its text
+    channel turns its words into known ones with a likelihood ratio of e^EVIDENCE or more
+    (e^EVIDENCE_OTHER where the text was not written in UTF-8). Its text
     is restored by a Viterbi search over the channels from word to word; words whose bytes do
     not decode exactly go through a byte lattice with wildcards for lost bytes, and lost characters
     are filled by the most frequent word of their shape. What cannot be restored stays as it was.
