@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import defaultdict
 from functools import lru_cache
 
@@ -12,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.session import Scratch
+
 LOST = "�"
 #: A word is known if it makes up this share of all words; so at most 1/KNOWN words are known, and these are broadcast.
 KNOWN = 5e-6
@@ -25,6 +28,8 @@ SWITCH, SWITCH_LINE = -7.0, -2.0
 EVIDENCE = 4.0
 EVIDENCE_OTHER = 8.0
 BEAM = 12
+#: Longer tokens are searched span by span.
+SPAN = 64
 
 # Code pages in which UTF-8 is commonly misread, and (written in, read as) pairs of other code
 # pages. In cp1252 and its kin a byte without a character is read as the control character of that number or lost.
@@ -61,6 +66,7 @@ CHANNELS = (
 _UNIT = regex.compile(r"\p{L}+|[^\x00-\x7f\p{L}]")
 _SPACE = re.compile("([ \t\r\n]+)")
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
+_NON_ASCII = re.compile("[^\x00-\x7f]{1,%d}" % SPAN)
 _RUN = regex.compile(rf"[\p{{L}}{LOST}]+")
 
 
@@ -78,9 +84,13 @@ def vocabulary(docs: DataFrame, text: str = "text") -> dict[str, float]:
         .groupBy("w")
         .agg(F.sum("n").alias("n"))
     )
+    scratch = Scratch(docs.sparkSession)
+    words = scratch.put(words)
     total = words.agg(F.sum("n")).first()[0] or 1
     least = total * KNOWN
-    return {r["w"]: math.log(r["n"] / total) for r in words.where(F.col("n") >= F.lit(least)).collect()}
+    known = {r["w"]: math.log(r["n"] / total) for r in words.where(F.col("n") >= F.lit(least)).collect()}
+    scratch.drop(words)
+    return known
 
 
 @lru_cache(maxsize=64)
@@ -95,6 +105,34 @@ def _to_bytes(page: str) -> dict[str, int]:
     return out
 
 
+_BY_PAGE: dict[str, list[int]] = defaultdict(list)
+for _k, _c in enumerate(CHANNELS):
+    _BY_PAGE[_c[0][1]].append(_k)
+_PAGES = tuple(_BY_PAGE)
+
+
+@lru_cache(maxsize=100_000)
+def _pages_with(char: str) -> int:
+    """Bit set of the code pages, in the order of _PAGES, that have the character."""
+    return sum(1 << i for i, page in enumerate(_PAGES) if char in _to_bytes(page))
+
+
+@lru_cache(maxsize=64)
+def _byte_table(page: str) -> dict[int, int]:
+    return {ord(c): b for c, b in _to_bytes(page).items()}
+
+
+def feasible_pages(s: str) -> list[str]:
+    """The code pages that have all characters of a text."""
+    bits = -1
+    for c in set(s):
+        if c > "\x7f":
+            bits &= _pages_with(c)
+            if not bits:
+                return []
+    return [page for i, page in enumerate(_PAGES) if bits >> i & 1]
+
+
 @lru_cache(maxsize=64)
 def _holes(page: str) -> tuple[int, ...]:
     """Bytes without a character, and the no-break space: what a reader of this page may have dropped."""
@@ -110,7 +148,8 @@ class Decoder:
 
     def __init__(self, words: dict[str, float]):
         self.words = words
-        self.candidates = lru_cache(maxsize=200_000)(self._candidates)
+        self.candidates = lru_cache(maxsize=50_000)(self._candidates)
+        self.evidence = lru_cache(maxsize=200_000)(self._evidence)
         self.shapes = defaultdict(list)
         for w, p in words.items():
             if not w.isascii() and w[0].isalpha():
@@ -125,15 +164,23 @@ class Decoder:
     def undo(self, s: str, step: tuple[str, str], lossy: bool = False) -> str | None:
         """One misreading undone: the text written in step[0] that reads as ``s`` under step[1]."""
         written, read = step
-        table = _to_bytes(read)
         if not lossy:
-            try:
-                return bytes([table[c] for c in s]).decode(written)
-            except (KeyError, UnicodeDecodeError):
-                return None
+            return self.decoded(s, written, read) if read in feasible_pages(s) else None
+        table = _to_bytes(read)
         if written != "utf_8":
             return "".join(bytes([table[c]]).decode(written, "ignore") or c if c in table else c for c in s)
-        return self.lattice(s, table, _holes(read))
+        if len(s) <= SPAN:
+            return self.lattice(s, table, _holes(read))
+        # of an endless token each damaged span is searched on its own
+        return _NON_ASCII.sub(lambda m: self.lattice(m.group(), table, _holes(read)), s)
+
+    @staticmethod
+    def decoded(s: str, written: str, read: str) -> str | None:
+        """``undo`` of a text whose characters the page has."""
+        try:
+            return s.translate(_byte_table(read)).encode("latin_1").decode(written)
+        except UnicodeDecodeError:
+            return None
 
     def lattice(self, s: str, table: dict[str, int], holes: tuple[int, ...]) -> str:
         """Viterbi search (a beam of BEAM) through the byte lattice of ``s``.
@@ -144,7 +191,9 @@ class Decoder:
         paths: list[list[tuple[float, str]]] = [[] for _ in range(len(s) + 1)]
         paths[0] = [(0.0, "")]
         for i, c in enumerate(s):
-            here = sorted(paths[i], key=lambda x: -(x[0] + self.score(x[1])))[:BEAM]
+            here = paths[i]
+            if len(here) > BEAM:
+                here = sorted(here, key=lambda x: -(x[0] + self.score(x[1])))[:BEAM]
             b = table.get(c, -1)
             need = 1 if 0xC2 <= b < 0xE0 else 2 if 0xE0 <= b < 0xF0 else 3 if 0xF0 <= b < 0xF5 else 0
             for p, text in here:
@@ -171,46 +220,57 @@ class Decoder:
                     paths[i + 1 + used].append((p + cost, text + ch))
         return max(paths[-1], key=lambda x: x[0] + self.score(x[1]))[1]
 
-    def _candidates(self, token: str) -> tuple[float, tuple[tuple[int, str, float, float], ...]]:
-        """(score as it stands, (channel, text, score, evidence) of every exact way to undo a channel)."""
-        base, seen = self.score(token), set(units(token))
-        out = []
-        for k, channel in enumerate(CHANNELS):
-            v = token
-            for step in channel:
-                v = self.undo(v, step)
-                if v is None or (v == token):
-                    v = None
-                    break
-                if v.isascii():
-                    break
-            if v is None or "\x00" in v:
+    def undone(self, token: str):
+        """(channel, text) of every exact way to undo a channel."""
+        for page in feasible_pages(token):
+            for k in _BY_PAGE[page]:
+                channel = CHANNELS[k]
+                v = self.decoded(token, *channel[0])
+                if v is None or v == token or "\x00" in v:
+                    continue
+                if len(channel) == 2:
+                    v = None if v.isascii() else self.undo(v, channel[1])
+                    if v is None:
+                        continue
+                yield k, v
+
+    def _candidates(self, token: str) -> tuple[float, dict[int, tuple[str, float]]]:
+        """The score of a token as it stands, and by channel the text and score of the ways to undo it."""
+        base, out = self.score(token), {}
+        for k, v in self.undone(token):
+            s = self.score(v)
+            if CHANNELS[k][0][0] == "utf_8" or s <= base or not self.misread_utf8(v):
+                out[k] = (v, s)
+        return base, out
+
+    def _evidence(self, token: str) -> tuple[tuple[int, float], ...]:
+        """What a token says for each channel: the gain of undoing it, if that brings a known word in.
+
+        A single letter counts for little, since scanned texts hold many stray ones.
+        """
+        seen, base, out = set(units(token)), None, []
+        for k, v in self.undone(token):
+            utf8 = CHANNELS[k][0][0] == "utf_8"
+            if utf8 and "\ufeff" in v:
+                out.append((k, 10.0))
                 continue
-            if len(channel) == 2 and v.isascii():
+            known = [u for u in units(v) if u in self.words and u not in seen]
+            if not known or not (utf8 or any(len(u) >= 3 and not u.isascii() for u in known)):
                 continue
-            s = self.score(v)
-            if channel[0][0] != "utf_8" and s > base and self.misread_utf8(v):
+            if base is None:
+                base = self.score(token)
+            gain = self.score(v) - base
+            if gain <= 0 or (not utf8 and self.misread_utf8(v)):
                 continue
-            out.append((k, v, s, self._evidence(channel, token, v, s - base, seen)))
-        return base, tuple(out)
+            if utf8 and not any(len(u) > 1 or not u.isalpha() for u in known):
+                gain = min(gain, EVIDENCE / 2)
+            out.append((k, gain))
+        return tuple(out)
 
     def misread_utf8(self, s: str) -> bool:
         """Whether the text is UTF-8 misread in some way, and so no source text."""
         return any((v := self.undo(s, ("utf_8", w))) is not None and v != s for w in READ_UTF8_AS)
 
-    def _evidence(self, channel, token: str, v: str, gain: float, seen: set[str]) -> float:
-        """The gain counts if the undone token brings a known word in; a single letter counts for little."""
-        if "﻿" in v and channel[0][0] == "utf_8":
-            return 10.0
-        known = [u for u in units(v) if u not in seen and u in self.words]
-        if gain <= 0 or not known:
-            return 0.0
-        if channel[0][0] != "utf_8":
-            return gain if any(len(u) >= 3 and not u.isascii() for u in known) else 0.0
-        if any(len(u) > 1 or not u.isalpha() for u in known):
-            return gain
-        return min(gain, EVIDENCE / 2)
-
     def damage(self, tokens: list[str]) -> tuple[bool, list[int]]:
         """Whether any of the words is misread, and the channels that account for it."""
         total: dict[int, float] = defaultdict(float)
@@ -220,9 +280,8 @@ class Decoder:
                 continue
             if LOST in t or _C1.search(t):
                 certain = True
-            for k, _, _, e in self.candidates(t)[1]:
-                if e:
-                    total[k] += e
+            for k, e in self.evidence(t):
+                total[k] += e
         enough = {k: e for k, e in total.items() if e >= (EVIDENCE if CHANNELS[k][0][0] == "utf_8" else EVIDENCE_OTHER)}
         return bool(certain or enough), sorted(enough, key=lambda k: -enough[k])[:4]
 
@@ -273,8 +332,7 @@ class Decoder:
                     trail.append((n, {s: (p, t) for s, (_, p) in step.items()}))
                     best = {s: (v, None) for s, (v, _) in step.items()}
                 continue
-            base, exact = self.candidates(t)
-            found = {k: (v, s) for k, v, s, _ in exact}
+            base, found = self.candidates(t)
             top = max(best, key=lambda s: best[s][0])
             step = {}
             for s in states:
@@ -310,9 +368,22 @@ class Decoder:
         return "".join(out), names, changed
 
 
+_DECODERS: dict[str, Decoder] = {}
+
+
+def _decoder(key: str, words: dict[str, float]) -> Decoder:
+    """The worker's decoder, kept from task to task for what it has worked out."""
+    if key not in _DECODERS:
+        _DECODERS.clear()
+        _DECODERS[key] = Decoder(words)
+    return _DECODERS[key]
+
+
 def _repair(words: dict[str, float]):
+    key = uuid.uuid4().hex
+
     def run(batches):
-        decoder = Decoder(words)
+        decoder = _decoder(key, words)
         for b in batches:
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
