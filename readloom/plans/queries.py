@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from readloom.config import Context, Extraction, Settings
+from readloom.functions.dna import LOG_RIGHT, LOG_WRONG, WEIGHTS, tag_id, true_barcode
 from readloom.functions.text import value_sql
+from readloom.operators import barcodes, cluster, consensus, evaluate, pileup, split
 from readloom.operators.salted import group_summary, heavy_groups
+from readloom.plans import pipeline
 from readloom.session import table
 from readloom.sources import error_parse
 
@@ -85,3 +89,313 @@ def p3_loaded(spark, sf):
 @query("p3_edits")
 def p3_edits(spark, sf):
     return error_parse.rejected(error_parse.parse_records(table(spark, sf, "raw_fastq")))
+
+
+# ---- barcode extraction, clustering and consensus over the reads table ----
+
+HOW = Settings(extraction=Extraction(start=0, length=20))
+EXACT = Settings(extraction=Extraction(start=0, length=20, max_indels=0), max_mismatches=0, align=False)
+ONE_EDIT = Settings(extraction=Extraction(start=0, length=20, max_indels=1), max_mismatches=1)
+CONTEXT = Settings(extraction=Extraction(context=Context.parse("GATCCGTTANNNNNNTGGAC"), max_indels=1))
+
+_FIXED = "CASE WHEN length(seq) >= 20 THEN upper(substr(seq, 1, 20)) END"
+_FOUND = f"""SELECT *, CASE WHEN n_unknown IS NULL OR n_unknown > 2 THEN 'failed' WHEN n_unknown > 0 THEN 'unknown' ELSE 'ok' END AS status
+    FROM (SELECT *, CASE WHEN regexp_full_match(barcode, '[ACGTN]*') THEN length(barcode) - length(replace(barcode, 'N', '')) END AS n_unknown
+    FROM (SELECT *, {_FIXED} AS barcode FROM reads))"""
+_COUNTS = f"SELECT barcode, count(*) AS n FROM ({_FOUND}) WHERE status = 'ok' GROUP BY barcode"
+_EXACT_IDS = f"SELECT barcode, n, row_number() OVER (ORDER BY n DESC, barcode) AS bcid FROM ({_COUNTS})"
+_WITH_N = f"""SELECT u.barcode, arg_min(e.bcid, [-e.n, (position(substr(e.barcode, u.p, 1) IN 'ACGT') - 1)
+    + CASE WHEN u.q > u.p THEN 4 * (position(substr(e.barcode, u.q, 1) IN 'ACGT') - 1) ELSE 0 END]) AS bcid
+    FROM (SELECT DISTINCT barcode, position('N' IN barcode) AS p, length(barcode) - position('N' IN reverse(barcode)) + 1 AS q
+    FROM ({_FOUND}) WHERE status = 'unknown') u
+    JOIN ({_EXACT_IDS}) e ON regexp_full_match(e.barcode, replace(u.barcode, 'N', '.')) GROUP BY u.barcode"""
+_ASSIGNED = f"""SELECT f.*, k.bcid FROM ({_FOUND}) f LEFT JOIN (SELECT barcode, bcid FROM ({_EXACT_IDS}) UNION ALL ({_WITH_N})) k
+    ON k.barcode = f.barcode AND f.status <> 'failed'"""
+
+
+def _found(spark, sf, how=HOW):
+    return barcodes.extracted(table(spark, sf, "reads"), how)
+
+
+def _exact(spark, sf):
+    return pipeline.run(table(spark, sf, "reads"), EXACT)
+
+
+@query("scan_reads", "SELECT file_idx, count(*) AS n_reads, count(seq) AS n_seq, sum(length(seq)) AS n_bases FROM reads GROUP BY file_idx")
+def scan_reads(spark, sf):
+    return table(spark, sf, "reads").groupBy("file_idx").agg(
+        F.count(F.lit(1)).alias("n_reads"), F.count("seq").alias("n_seq"), F.sum(F.length("seq")).alias("n_bases")
+    )
+
+
+@query("extract_fixed", f"SELECT read_idx, barcode, n_unknown, status FROM ({_FOUND})")
+def extract_fixed(spark, sf):
+    return _found(spark, sf).select("read_idx", "barcode", "n_unknown", "status")
+
+
+def _sql_hit(low: str, last: str, pattern: str) -> str:
+    n = len(pattern)
+    return f"""list_min(list_filter(list_transform(range({low}, {last} + 1), lambda p: {{'m': list_sum(list_transform(range(1, {n + 1}),
+    lambda i: CAST(substr(s, p + i, 1) <> substr('{pattern}', i, 1) AS INT))), 'p': p}}), lambda x: x.m <= 1)).p"""
+
+
+@query(
+    "extract_context",
+    f"""SELECT read_idx, CASE WHEN hit - b >= 1 AND abs(hit - b - 6) <= 1 THEN substr(s, CAST(b AS INT) + 1, CAST(hit - b AS INT)) END AS barcode
+    FROM (SELECT *, {_sql_hit('greatest(b + 5, b)', 'least(b + 12, length(s)) - 5', 'TGGAC')} AS hit FROM
+    (SELECT read_idx, s, {_sql_hit('0', 'length(s) - 9', 'GATCCGTTA')} + 9 AS b FROM (SELECT read_idx, upper(seq) AS s FROM reads)))""",
+)
+def extract_context(spark, sf):
+    return _found(spark, sf, CONTEXT).select("read_idx", "barcode")
+
+
+@query("barcode_counts", _COUNTS)
+def barcode_counts(spark, sf):
+    return barcodes.barcode_counts(_found(spark, sf))
+
+
+@query(
+    "read_stats",
+    f"""SELECT file_idx, count(*) AS n_reads, count(*) FILTER (status = 'failed') AS n_failed, count(*) FILTER (status = 'unknown') AS n_with_unknown,
+    count(*) FILTER (status = 'ok') AS n_ok, count(bcid) AS n_assigned FROM ({_ASSIGNED}) GROUP BY file_idx""",
+)
+def read_stats(spark, sf):
+    return _exact(spark, sf).stats()
+
+
+@query(
+    "edges_substitution",
+    f"""WITH c AS MATERIALIZED (SELECT barcode FROM ({_COUNTS})) SELECT x.barcode AS a, y.barcode AS b FROM c x JOIN c y ON x.barcode <> y.barcode
+    AND length(x.barcode) = length(y.barcode) AND hamming(x.barcode, y.barcode) <= 2""",
+)
+def edges_substitution(spark, sf):
+    return barcodes.substitution_pairs(barcodes.barcode_counts(_found(spark, sf)), 2)
+
+
+_DELETED = "SELECT DISTINCT barcode, substr(barcode, 1, CAST(i AS INT) - 1) || substr(barcode, CAST(i AS INT) + 1) AS s FROM (SELECT barcode, unnest(range(1, length(barcode) + 1)) AS i FROM c)"
+
+
+@query(
+    "edges_fixed_indel",
+    f"""WITH c AS MATERIALIZED (SELECT barcode FROM ({_COUNTS})), d AS ({_DELETED}),
+    h AS (SELECT c.barcode AS a, d.barcode AS b FROM c JOIN d ON substr(c.barcode, 1, length(c.barcode) - 1) = d.s AND c.barcode <> d.barcode)
+    SELECT a, b FROM h UNION SELECT b, a FROM h""",
+)
+def edges_fixed_indel(spark, sf):
+    return barcodes.indel_pairs(barcodes.barcode_counts(_found(spark, sf)), 1, fixed=True)
+
+
+_CONTEXT_COUNTS = f"""SELECT DISTINCT barcode FROM ({ORACLE['extract_context']}) WHERE regexp_full_match(barcode, '[ACGT]+')"""
+
+
+@query(
+    "edges_context_indel",
+    f"""WITH c AS MATERIALIZED ({_CONTEXT_COUNTS}), d AS ({_DELETED}), h AS (SELECT c.barcode AS a, d.barcode AS b FROM c JOIN d ON c.barcode = d.s)
+    SELECT a, b FROM h UNION SELECT b, a FROM h""",
+)
+def edges_context_indel(spark, sf):
+    return barcodes.indel_pairs(barcodes.barcode_counts(_found(spark, sf, CONTEXT)), 1, fixed=False)
+
+
+# the sequential rule has no SQL form on whole tables; tests compare it with a brute-force loop
+@query("clusters")
+def clusters(spark, sf):
+    counts = barcodes.barcode_counts(_found(spark, sf))
+    return cluster.cluster(counts, HOW)
+
+
+@query("clusters_exact", f"SELECT barcode, barcode AS centroid, bcid FROM ({_EXACT_IDS})")
+def clusters_exact(spark, sf):
+    return _exact(spark, sf).assignments
+
+
+@query("resolve_unknown", _WITH_N)
+def resolve_unknown(spark, sf):
+    r = _exact(spark, sf)
+    return barcodes.resolve_unknown(r.found, r.counts, r.assignments)
+
+
+@query("assign_reads", f"SELECT read_idx, bcid FROM ({_ASSIGNED})")
+def assign_reads(spark, sf):
+    return _exact(spark, sf).assigned.select("read_idx", "bcid")
+
+
+@query("failed_reads", f"SELECT read_idx, header, seq, plus, qual FROM ({_ASSIGNED}) WHERE bcid IS NULL")
+def failed_reads(spark, sf):
+    return _exact(spark, sf).assigned.where("bcid is null").select("read_idx", "header", "seq", "plus", "qual")
+
+
+_WEIGHT = f"CASE WHEN k < 33 THEN 0 WHEN k > 73 THEN 42 ELSE {list(WEIGHTS)}[k - 32] END"
+_BASES = f"""SELECT bcid, i AS pos, substr(seq, i + 1, 1) AS base, CASE WHEN i < coalesce(length(qual), 0) THEN ord(substr(qual, i + 1, 1)) ELSE 0 END AS k
+    FROM (SELECT bcid, seq, qual, CAST(unnest(range(0, length(seq))) AS INT) AS i FROM ({_ASSIGNED}) WHERE bcid IS NOT NULL)"""
+_PILES = f"""SELECT bcid, pos, {', '.join(f"CAST(sum(CASE WHEN base = '{c.upper()}' THEN w ELSE 0 END) AS BIGINT) AS {c}" for c in 'acgt')}, CAST(0 AS BIGINT) AS gap
+    FROM (SELECT *, {_WEIGHT} AS w FROM ({_BASES})) GROUP BY bcid, pos"""
+
+
+@query("pileup", _PILES)
+def piled(spark, sf):
+    return pileup.pileup(_exact(spark, sf).assigned)
+
+
+_LOGS = f"list_transform([a, c, g, t, gap], lambda x: x * ({LOG_RIGHT}) + (a + c + g + t + gap - x) * ({LOG_WRONG}))"
+_CALLS = f"""SELECT *, CASE WHEN blank THEN 0 ELSE CAST(least(40, greatest(0, floor(10 * (list_max(lp) + log10(list_sum(list_transform(lp, lambda v: pow(10.0, v - list_max(lp))))))
+      - 10 * (list_max(lo) + log10(list_sum(list_transform(lo, lambda v: pow(10.0, v - list_max(lo)))))) + 0.5))) AS INT) END AS q FROM (
+    SELECT *, list_concat(lp[1:place - 1], lp[place + 1:]) AS lo, ng = 0 OR top_count > 1 AS blank FROM (
+    SELECT p.*, {_LOGS} AS lp, greatest(a, c, g, t) AS top, list_position([a, c, g, t], greatest(a, c, g, t)) AS place, a + c + g + t AS ng,
+      len(list_filter([a, c, g, t], lambda x: x = greatest(a, c, g, t))) AS top_count, list_sort([a, c, g, t])[3] AS second
+    FROM (SELECT *, max(CASE WHEN a + c + g + t + gap > half THEN pos END) OVER (PARTITION BY bcid) AS last FROM
+      (SELECT *, sum(a + c + g + t + gap) OVER (PARTITION BY bcid) / count(*) OVER (PARTITION BY bcid) / 2 AS half FROM ({_PILES}))) p WHERE pos <= last))"""
+_CALLED = f"""SELECT bcid, pos, CASE WHEN blank OR q < 4 THEN 'N' ELSE substr('ACGT', place, 1) END AS base, q,
+    CASE WHEN ng > 0 THEN second / ng END AS minor, CASE WHEN blank THEN 0 ELSE ng END AS calls, CASE WHEN blank THEN 0 ELSE ng - top END AS missense FROM ({_CALLS})"""
+
+
+@query("base_calls", f"SELECT bcid, pos, base, q, round(minor, 6) AS minor, calls, missense FROM ({_CALLED})")
+def base_calls(spark, sf):
+    made = pileup.called(pileup.pileup(_exact(spark, sf).assigned))
+    return made.select("bcid", "pos", "base", "q", F.round("minor", 6).alias("minor"), "calls", "missense")
+
+
+_CONSENSUS = f"""SELECT s.bcid, s.count, CASE WHEN s.count = 1 THEN s.seq ELSE coalesce(m.seq, '') END AS seq, CASE WHEN s.count = 1 THEN coalesce(s.qual, '') ELSE coalesce(m.qual, '') END AS qual,
+    CASE WHEN s.count = 1 THEN 0.0 ELSE coalesce(minor_max, 0.0) END AS minor_max, CASE WHEN s.count = 1 THEN 0.0 ELSE coalesce(minor_mean, 0.0) END AS minor_mean,
+    CASE WHEN s.count = 1 THEN 0 ELSE coalesce(calls, 0) END AS calls, CASE WHEN s.count = 1 THEN 0 ELSE coalesce(missense, 0) END AS missense
+    FROM (SELECT bcid, count(*) AS "count", any_value(seq) AS seq, any_value(qual) AS qual FROM ({_ASSIGNED}) WHERE bcid IS NOT NULL AND length(seq) > 0 GROUP BY bcid) s
+    LEFT JOIN (SELECT bcid, string_agg(base, '' ORDER BY pos) AS seq, string_agg(chr(q + 33), '' ORDER BY pos) AS qual, coalesce(max(minor), 0.0) AS minor_max,
+    coalesce(avg(minor), 0.0) AS minor_mean, sum(calls) AS calls, sum(missense) AS missense FROM ({_CALLED}) GROUP BY bcid) m ON m.bcid = s.bcid"""
+_Q = "list_transform(string_split(qual, ''), lambda x: greatest(ord(x) - 33, 0))"
+_RECORDS = f"""SELECT *, CASE WHEN length(seq) >= 20 THEN substr(seq, 1, 20) END AS bc, CAST(CASE WHEN qual = '' THEN 0 ELSE list_min({_Q}) END AS INT) AS min_q,
+    CAST(CASE WHEN qual = '' THEN 0 ELSE list_sum({_Q}) // length(qual) END AS INT) AS mean_q FROM ({_CONSENSUS})"""
+
+
+@query(
+    "consensus_unaligned",
+    f"""SELECT bc, bcid, "count", min_q, mean_q, round(minor_mean, 6) AS minor_frac_mean, round(minor_max, 6) AS minor_frac_max, seq, qual FROM ({_RECORDS}) WHERE bc IS NOT NULL""",
+)
+def consensus_unaligned(spark, sf):
+    made = _exact(spark, sf).passed()
+    return made.select(
+        "bc", "bcid", "count", "min_q", "mean_q", F.round("minor_frac_mean", 6).alias("minor_frac_mean"), F.round("minor_frac_max", 6).alias("minor_frac_max"), "seq", "qual"
+    )
+
+
+@query("consensus_failed", f'SELECT bcid, "count", seq, qual FROM ({_RECORDS}) WHERE bc IS NULL')
+def consensus_failed(spark, sf):
+    return _exact(spark, sf).consensus.where("bc is null").select("bcid", "count", "seq", "qual")
+
+
+@query("error_rates", f"SELECT CAST(sum(calls) AS BIGINT) AS calls, round(sum(missense) / sum(calls), 9) AS missense_rate, 0.0 AS indel_rate FROM ({_RECORDS})")
+def error_rates(spark, sf):
+    rates = _exact(spark, sf).rates()
+    return rates.select("calls", F.round("missense_rate", 9).alias("missense_rate"), "indel_rate")
+
+
+# aligning is a chain of folds, which SQL cannot say; tests compare it with a plain loop
+@query("consensus_aligned")
+def consensus_aligned(spark, sf):
+    return pipeline.run(table(spark, sf, "reads"), HOW).passed().drop("calls", "missense", "indels")
+
+
+@query("consensus_fastq")
+def consensus_fastq(spark, sf):
+    return consensus.fastq_lines(pipeline.run(table(spark, sf, "reads"), HOW).consensus)
+
+
+@query("failed_fastq")
+def failed_fastq(spark, sf):
+    return pipeline.run(table(spark, sf, "reads"), EXACT).failed_lines()
+
+
+_SIZES = f"SELECT bcid, 1 AS n_barcodes, n AS n_reads FROM ({_EXACT_IDS})"
+
+
+@query("cluster_sizes", _SIZES)
+def cluster_sizes(spark, sf):
+    r = _exact(spark, sf)
+    return evaluate.cluster_sizes(r.counts, r.assignments)
+
+
+@query(
+    "size_histogram",
+    f"SELECT 1 AS n_barcodes, count(*) AS n_clusters, min(n_reads) AS least_reads, max(n_reads) AS most_reads, round(avg(n_reads), 6) AS mean_reads FROM ({_SIZES})",
+)
+def size_histogram(spark, sf):
+    r = _exact(spark, sf)
+    out = evaluate.size_histogram(evaluate.cluster_sizes(r.counts, r.assignments))
+    return out.withColumn("mean_reads", F.round("mean_reads", 6))
+
+
+_TRUE = r"substr(regexp_extract(substr(header, position('barcode=' IN header) + 8), '\A([^ \t\r\n]*)', 1), 1, 64)"
+_TRUTH = f"SELECT {_TRUE} AS true_bc, bcid FROM ({_ASSIGNED}) WHERE position('barcode=' IN header) > 0 AND {_TRUE} <> '' AND bcid IS NOT NULL"
+
+
+@query("truth_tags", f"SELECT read_idx, CASE WHEN position('barcode=' IN header) > 0 AND {_TRUE} <> '' THEN {_TRUE} END AS true_bc FROM reads")
+def truth_tags(spark, sf):
+    return table(spark, sf, "reads").select("read_idx", true_barcode(F.col("header")).alias("true_bc"))
+
+
+@query(
+    "split_histogram",
+    f"SELECT least(n, 6) AS n_clusters, count(*) AS n_barcodes FROM (SELECT true_bc, count(DISTINCT bcid) AS n FROM ({_TRUTH}) GROUP BY true_bc) GROUP BY 1",
+)
+def split_histogram(spark, sf):
+    return evaluate.split_histogram(evaluate.truth_pairs(_exact(spark, sf).assigned))
+
+
+@query(
+    "merge_histogram",
+    f"SELECT least(n, 6) AS n_barcodes, count(*) AS n_clusters FROM (SELECT bcid, count(DISTINCT true_bc) AS n FROM ({_TRUTH}) GROUP BY bcid) GROUP BY 1",
+)
+def merge_histogram(spark, sf):
+    return evaluate.merge_histogram(evaluate.truth_pairs(_exact(spark, sf).assigned))
+
+
+@query("diameters")
+def diameters(spark, sf):
+    return pipeline.run(table(spark, sf, "reads"), HOW).diameters(HOW)
+
+
+@query(
+    "split_files",
+    """SELECT file_idx, read_idx, barcode, run, CAST((run - 1) // 100 + 1 AS INT) AS file_no FROM (
+    SELECT *, sum(CASE WHEN barcode IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY file_idx ORDER BY read_idx) AS run FROM (
+    SELECT *, lag(barcode) OVER (PARTITION BY file_idx ORDER BY read_idx) AS before FROM (
+    SELECT file_idx, read_idx, substr(seq, 1, 4) AS barcode FROM reads WHERE length(seq) >= 4)))""",
+)
+def split_files(spark, sf):
+    return split.split_by_barcodes(table(spark, sf, "reads"), 0, 4, 100, chunk=1000).select("file_idx", "read_idx", "barcode", "run", "file_no")
+
+
+@query(
+    "same_records",
+    """WITH x AS (SELECT DISTINCT header, seq, plus, qual FROM reads WHERE file_idx <= 12), y AS (SELECT DISTINCT header, seq, plus, qual FROM reads WHERE file_idx >= 8)
+    SELECT only_first, only_second, only_first = 0 AND only_second = 0 AS same FROM (SELECT count(*) AS only_first FROM (SELECT * FROM x EXCEPT SELECT * FROM y)),
+    (SELECT count(*) AS only_second FROM (SELECT * FROM y EXCEPT SELECT * FROM x))""",
+)
+def same_records(spark, sf):
+    r = table(spark, sf, "reads")
+    return evaluate.same_records(r.where("file_idx <= 12"), r.where("file_idx >= 8"))
+
+
+@query(
+    "mixed_groups",
+    f"SELECT bcid, count(*) FILTER (minor >= 0.15) AS n_mixed, count(*) FILTER (minor >= 0.15) >= 3 AS mixed FROM ({_CALLED}) GROUP BY bcid",
+)
+def mixed_groups(spark, sf):
+    return evaluate.mixed_groups(pileup.called(pileup.pileup(_exact(spark, sf).assigned)))
+
+
+@query(
+    "usable_consensus",
+    f'SELECT bcid, "count", min_q FROM ({_RECORDS}) WHERE bc IS NOT NULL AND min_q > 30 AND "count" > 1',
+)
+def usable_consensus(spark, sf):
+    return _exact(spark, sf).passed().where("min_q > 30 and count > 1").select("bcid", "count", "min_q")
+
+
+@query(
+    "tagged_ids",
+    r"""SELECT read_idx, TRY_CAST(nullif(regexp_extract(h, '^[^;]*(?:;[^U;][^;]*)*;UBID=([0-9]+)', 1), '') AS BIGINT) AS ubid
+    FROM (SELECT read_idx, header || ';UBID=' || read_idx AS h FROM reads)""",
+)
+def tagged_ids(spark, sf):
+    tagged = F.concat("header", F.lit(";UBID="), F.col("read_idx").cast("string"))
+    return table(spark, sf, "reads").select("read_idx", tag_id(tagged).alias("ubid"))
