@@ -75,6 +75,21 @@ def neighbour_pairs(counts: DataFrame, how: Settings) -> DataFrame:
     return substitution_pairs(counts, how.max_mismatches).unionByName(indel_pairs(counts, x.max_indels, x.fixed)).distinct()
 
 
+def _opened(x):
+    """The four ways to fill the first N of a combination, or the combination itself."""
+    at = F.locate("N", x["full"])
+    tail = F.substring(x["full"], at + 1, F.length(x["full"]))
+    filled = [
+        F.struct(
+            F.concat(F.substring(x["full"], F.lit(1), at - 1), F.lit(base), tail).alias("full"),
+            (x["rank"] + x["step"] * i).alias("rank"),
+            (x["step"] * 4).alias("step"),
+        )
+        for i, base in enumerate("ACGT")
+    ]
+    return F.when(at > 0, F.array(*filled)).otherwise(F.array(F.struct(x["full"].alias("full"), x["rank"].alias("rank"), x["step"].alias("step"))))
+
+
 def resolve_unknown(found: DataFrame, counts: DataFrame, assignments: DataFrame) -> DataFrame:
     """(barcode, bcid) of barcodes with N: the counted barcode they match that has most reads.
 
@@ -82,19 +97,10 @@ def resolve_unknown(found: DataFrame, counts: DataFrame, assignments: DataFrame)
     most 4^max_n combinations of each distinct barcode are joined.
     """
     wanted = found.where("status = 'unknown'").select("barcode").distinct()
-    combos = wanted.select("barcode", F.col("barcode").alias("full"), F.lit(0).alias("rank"), F.lit(1).alias("step"))
+    made = F.array(F.struct(F.col("barcode").alias("full"), F.lit(0).alias("rank"), F.lit(1).alias("step")))
     for _ in range(5):
-        at = F.locate("N", F.col("full"))
-        choices = F.array(*[F.struct(F.lit(c).alias("base"), F.lit(i).alias("i")) for i, c in enumerate("ACGT")])
-        open_ = combos.where(at > 0).select("*", F.explode(choices).alias("c"))
-        combos = combos.where(at == 0).unionByName(
-            open_.select(
-                "barcode",
-                F.concat(F.substring("full", F.lit(1), at - 1), "c.base", F.substring("full", at + 1, F.length("full"))).alias("full"),
-                (F.col("rank") + F.col("step") * F.col("c.i")).alias("rank"),
-                (F.col("step") * 4).alias("step"),
-            )
-        )
+        made = F.flatten(F.transform(made, _opened))
+    combos = wanted.select("barcode", F.explode(made).alias("c")).select("barcode", "c.full", "c.rank")
     known = counts.join(assignments.select("barcode", "bcid"), "barcode").withColumnRenamed("barcode", "full")
     return (
         combos.join(known, "full").groupBy("barcode").agg(F.min_by("bcid", F.struct(-F.col("n"), F.col("rank"))).alias("bcid"))
