@@ -18,6 +18,8 @@ from readloom.session import Scratch
 LOST = "�"
 #: A word is known if it makes up this share of all words; so at most 1/KNOWN words are known, and these are broadcast.
 KNOWN = 5e-6
+#: and stands in the corpus this many times.
+KNOWN_ROWS = 3
 #: Log-probability of a word that is not known, and of a wildcard byte put into the lattice.
 UNKNOWN = math.log(KNOWN) - 3
 WILDCARD = -4.0
@@ -27,6 +29,8 @@ SWITCH, SWITCH_LINE = -7.0, -2.0
 #: sequences are hard to come by otherwise, and by other pairs of encodings.
 EVIDENCE = 4.0
 EVIDENCE_OTHER = 8.0
+#: What each byte that continues a UTF-8 sequence speaks for a text of known words.
+SEQUENCE = 2.0
 BEAM = 12
 #: Longer tokens are searched span by span.
 SPAN = 64
@@ -87,7 +91,7 @@ def vocabulary(docs: DataFrame, text: str = "text") -> dict[str, float]:
     scratch = Scratch(docs.sparkSession)
     words = scratch.put(words)
     total = words.agg(F.sum("n")).first()[0] or 1
-    least = total * KNOWN
+    least = max(total * KNOWN, KNOWN_ROWS)
     known = {r["w"]: math.log(r["n"] / total) for r in words.where(F.col("n") >= F.lit(least)).collect()}
     scratch.drop(words)
     return known
@@ -239,6 +243,9 @@ class Decoder:
         base, out = self.score(token), {}
         for k, v in self.undone(token):
             s = self.score(v)
+            if CHANNELS[k][0][0] == "utf_8" and all(u in self.words for u in units(v)):
+                # misread words stand in the corpus too; that bytes form UTF-8 and known words is no accident
+                s += SEQUENCE * (len(token) - len(v))
             if CHANNELS[k][0][0] == "utf_8" or s <= base or not self.misread_utf8(v):
                 out[k] = (v, s)
         return base, out

@@ -134,7 +134,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, broadcast_passages: int = BR
     shuffle on (minhash, window), with the same result.
 
     An item or document under eight words, empty or null matches nothing. Repeated items match each
-    under its own id; a repeated document is reported under each doc_id. n_passages counts distinct
+    under its own id; a document is reported once for each doc_id. n_passages counts distinct
     windows of the item found in the document, containment is their share of the item's distinct
     windows. Empty tables give an empty result. Whole texts are searched, and columns other than
     doc_id, item_id and text are ignored.
@@ -151,6 +151,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, broadcast_passages: int = BR
         if not len(head):
             return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_passages long, item_passages long, containment double")
         found = texts.mapInArrow(_probe(head), "doc_id long, item_id long, n_passages long")
+        found = found.groupBy("doc_id", "item_id").agg(F.max("n_passages").alias("n_passages"))
     else:
         windows = texts.mapInArrow(_windows(), "id long, key long, passage string").withColumnRenamed("id", "doc_id").distinct()
         found = windows.join(index, ["key", "passage"]).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_passages"))
