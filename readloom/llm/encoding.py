@@ -28,7 +28,7 @@ SWITCH, SWITCH_LINE = -7.0, -2.0
 #: Evidence (a log-likelihood ratio) from which a document counts as damaged: by misread UTF-8, whose byte
 #: sequences are hard to come by otherwise, and by other pairs of encodings.
 EVIDENCE = 4.0
-EVIDENCE_OTHER = 8.0
+EVIDENCE_OTHER = 6.0
 #: What each byte that continues a UTF-8 sequence speaks for a text of known words.
 SEQUENCE = 2.0
 BEAM = 12
@@ -60,6 +60,11 @@ OTHER_PAIRS = (
     ("cp1252", "mac_roman"),
     ("cp1252", "cp437"),
     ("cp1252", "cp850"),
+    ("iso8859_2", "cp1250"),
+    ("cp1250", "iso8859_2"),
+    ("cp1252", "iso8859_2"),
+    ("iso8859_7", "cp1252"),
+    ("cp1253", "iso8859_7"),
 )
 CHANNELS = (
     *((("utf_8", w),) for w in READ_UTF8_AS),
