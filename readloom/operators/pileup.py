@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.functions.dna import LOG_RIGHT, LOG_WRONG, WEIGHTS, let
+from readloom.functions.dna import LOG_RIGHT, LOG_WRONG, WEIGHTS
 
 CLASSES = ("a", "c", "g", "t", "gap")
 
@@ -33,13 +33,6 @@ def pileup(reads: DataFrame, group: str = "bcid") -> DataFrame:
     return base.groupBy(group, "pos").agg(*sums).withColumn("gap", F.lit(0).cast("bigint"))
 
 
-def _log_sum(values: Column) -> Column:
-    return let(
-        F.array_max(values),
-        lambda top: top + F.log10(F.aggregate(values, F.lit(0.0), lambda s, v: s + F.pow(F.lit(10.0), v - top))),
-    )
-
-
 def called(piles: DataFrame, group: str = "bcid") -> DataFrame:
     """Adds to each position: kept (before the tail trim's end), base, q, minor (or null), and error counts.
 
@@ -51,22 +44,24 @@ def called(piles: DataFrame, group: str = "bcid") -> DataFrame:
     total = sum(each[1:], each[0])
     bases = F.greatest(*each[:4])
     non_gap = sum(each[1:4], each[0])
-    per_group = piles.groupBy(group).agg((F.sum(total) / F.count(F.lit(1)) / 2).alias("_half"))
-    marked = piles.join(per_group, group)
-    ends = marked.where(total > F.col("_half")).groupBy(group).agg(F.max("pos").alias("_last"))
-    rows = marked.join(ends, group).where(F.col("pos") <= F.col("_last")).drop("_half", "_last")
-    gap_top = F.col("gap") > bases
+    # a group has as many rows as its longest read has bases, so these windows stay small in huge groups too
+    whole = Window.partitionBy(group)
+    half = F.sum(total).over(whole) / F.count(F.lit(1)).over(whole) / 2
+    marked = piles.withColumn("_good", F.when(total > half, F.col("pos"))).withColumn("_last", F.max("_good").over(whole))
+    rows = marked.where((F.col("pos") <= F.col("_last")) & (F.col("gap") <= bases)).drop("_good", "_last")
     top_count = sum((F.when(c == bases, 1).otherwise(0) for c in each[1:4]), F.when(each[0] == bases, 1).otherwise(0))
-    second = F.when(top_count > 1, bases).otherwise(F.element_at(F.sort_array(F.array(*each[:4])), 3))
-    probs = F.array(*[c * LOG_RIGHT + (total - c) * LOG_WRONG for c in each])
-    place = F.array_position(F.array(*each[:4]), bases).cast("int")
-    phred = let(probs, lambda p: 10 * _log_sum(p) - 10 * _log_sum(F.filter(p, lambda x, i: i != place - 1)))
+    second = F.when(top_count > 1, bases).otherwise(F.get(F.sort_array(F.array(*each[:4])), 2))
+    # the classes' probabilities are 10^(s * LOG_RIGHT + (total - s) * LOG_WRONG); over that of the top class, the
+    # others add up to this
+    others = sum((F.pow(F.lit(10.0), (LOG_RIGHT - LOG_WRONG) * (c - bases)) for c in each), F.lit(-1.0))
+    phred = 10 * F.log10((1 + others) / others)
     q = F.least(F.lit(40), F.greatest(F.lit(0), F.floor(phred + 0.5))).cast("int")
     blank = (non_gap == 0) | (top_count > 1)
-    rows = rows.where(~gap_top).withColumn("q", F.when(blank, 0).otherwise(q))
+    rows = rows.withColumn("q", F.when(blank, 0).otherwise(q))
+    letter = F.when(F.col("a") == bases, "A").when(F.col("c") == bases, "C").when(F.col("g") == bases, "G").otherwise("T")
     return rows.select(
         *[c for c in rows.columns if c != "q"],
-        F.when(blank | (F.col("q") < 4), "N").otherwise(F.substring(F.lit("ACGT"), place, F.lit(1))).alias("base"),
+        F.when(blank | (F.col("q") < 4), "N").otherwise(letter).alias("base"),
         "q",
         F.when(non_gap > 0, second / non_gap).alias("minor"),
         F.when(blank, 0).otherwise(non_gap).alias("calls"),
