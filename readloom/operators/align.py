@@ -129,9 +129,15 @@ def align(refs: list[np.ndarray], queries: list[np.ndarray], gap: float) -> list
     g = np.float32(gap)
     todo: dict[tuple[int, bool], list[int]] = {}
     for i, (r, q) in enumerate(zip(refs, queries)):
-        longer = max(len(r), len(q))
+        longer, shorter = max(len(r), len(q)), min(len(r), len(q))
         full = longer <= 50
-        todo.setdefault((longer if full else max(1, int(np.sqrt(longer * 0.04))), full), []).append(i)
+        w = longer if full else max(1, int(np.sqrt(longer * 0.04)))
+        if not full:
+            # a position scores 1 at most, and one without evidence 0: bands that could not prove enough are passed over
+            most = int((q.any(axis=1)).sum())
+            while w <= longer // 2 and most < (2.0 * (w + 1.0) - (longer - shorter)) * gap + (shorter - (w + 1.0)):
+                w = 2 * w if 2 * w <= longer // 2 else longer // 2 + 1
+        todo.setdefault((w, full), []).append(i)
     while todo:
         (w, full), items = todo.popitem()
         w_used = max(w, 1)
