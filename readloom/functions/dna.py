@@ -69,6 +69,11 @@ def barcode_of(seq: Column, how: Extraction) -> Column:
     return let(F.upper(seq), lambda text: let(_context_start(text, how), lambda begin: let(_context_size(text, begin, how), lambda size: _cut(seq, begin, size))))
 
 
+def partial_barcode(seq: Column, start: int, length: int) -> Column:
+    """As much of the barcode at a fixed place as the read holds, as the older paired sorter took it."""
+    return F.substring(seq, start + 1, length)
+
+
 def _cut(text: Column, begin: Column, size: Column) -> Column:
     return F.when((begin + size <= F.length(text)) & (size <= MAX_BARCODE), F.substring(text, begin + 1, size))
 

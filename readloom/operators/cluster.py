@@ -15,11 +15,13 @@ def numbered(centroids: DataFrame) -> DataFrame:
     """Dense ids 1..K by falling count, then barcode, without a single-task window.
 
     Range partitions are counted, and the ids of a partition start after those of the ones before;
-    the driver sees one count a partition.
+    the driver sees one count a partition. Where ranges are cut depends on a sample that differs from
+    job to job, so the partitions are written before they are counted.
     """
     ordered = centroids.repartitionByRange(F.desc("n"), "barcode").sortWithinPartitions(F.desc("n"), "barcode")
     tagged = ordered.withColumn("_m", F.monotonically_increasing_id())
     tagged = tagged.select("*", F.shiftright("_m", 33).alias("_part"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    tagged = Scratch(centroids.sparkSession).put(tagged.select("barcode", "_part", "_at"))
     sizes = {r[0]: r[1] for r in tagged.groupBy("_part").count().collect()}
     start, before = [], 0
     for part in sorted(sizes):

@@ -20,8 +20,9 @@ def _fold_partition(gap: float):
     """Reads sorted by group, many groups at a time; a group that straddles batches is carried over."""
 
     def emit(groups: list[tuple[int, list]]):
-        piles = fold([g for _, g in groups], gap)
-        rows = [(i, len(g), *call(p)) for (i, g), p in zip(groups, piles)]
+        several = [(i, g) for i, g in groups if len(g) > 1]
+        rows = [(i, 1, g[0][0], g[0][1] or "", 0.0, 0.0, 0, 0, 0) for i, g in groups if len(g) == 1]
+        rows += [(i, len(g), *call(p)) for (i, g), p in zip(several, fold([g for _, g in several], gap))]
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
@@ -47,23 +48,19 @@ def _fold_partition(gap: float):
     return run
 
 
-def grouped(reads: DataFrame) -> DataFrame:
-    """Reads with a group and a sequence, with the size of their group."""
-    from pyspark.sql import Window
-
-    usable = reads.where("bcid is not null and length(seq) > 0")
-    return usable.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("bcid")))
-
-
 def consensus(reads: DataFrame, how: Settings) -> DataFrame:
     """Consensus of the reads (bcid, file_idx, read_idx, seq, qual): the columns of SCHEMA.
 
     A group of one read keeps its sequence and quality as they are. Other groups are summed position
-    by position, or aligned: there one pass over the sorted partitions folds many groups at a time.
+    by position, or aligned: there the reads are shuffled once, and one pass over the sorted partitions
+    folds many groups at a time.
     A null or empty sequence is no read. A group's fold is a chain, so one huge group takes one task
     as long as it has reads; without alignment groups of any size are aggregated in parts.
     """
     usable = reads.where("bcid is not null and length(seq) > 0").select("bcid", "file_idx", "read_idx", "seq", "qual")
+    if how.align:
+        ordered = usable.repartition("bcid").sortWithinPartitions("bcid", "file_idx", "read_idx")
+        return ordered.select("bcid", "seq", "qual").mapInArrow(_fold_partition(how.gap), SCHEMA)
     size = usable.groupBy("bcid").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("seq", "qual")).alias("one"))
     zero = F.lit(0).cast("bigint")
     single = size.where("count = 1").select(
@@ -71,15 +68,12 @@ def consensus(reads: DataFrame, how: Settings) -> DataFrame:
         zero.alias("calls"), zero.alias("missense"), zero.alias("indels"),
     )
     several = size.where("count > 1").select("bcid", "count")
-    if not how.align:
-        # a group without any evidence keeps no position: its consensus is empty
-        made = consensus_of(called(pileup(usable.join(several.select("bcid"), "bcid"))))
-        text = [F.coalesce(c, F.lit("")).alias(c) for c in ("seq", "qual")]
-        nums = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("minor_frac_max", "minor_frac_mean")]
-        ints = [F.coalesce(c, zero).alias(c) for c in ("calls", "missense", "indels")]
-        return single.unionByName(several.join(made, "bcid", "left").select("bcid", "count", *text, *nums, *ints))
-    many = usable.join(several.select("bcid"), "bcid").repartition("bcid").sortWithinPartitions("bcid", "file_idx", "read_idx")
-    return single.unionByName(many.select("bcid", "seq", "qual").mapInArrow(_fold_partition(how.gap), SCHEMA))
+    # a group without any evidence keeps no position: its consensus is empty
+    made = consensus_of(called(pileup(usable.join(several.select("bcid"), "bcid"))))
+    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("seq", "qual")]
+    nums = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("minor_frac_max", "minor_frac_mean")]
+    ints = [F.coalesce(c, zero).alias(c) for c in ("calls", "missense", "indels")]
+    return single.unionByName(several.join(made, "bcid", "left").select("bcid", "count", *text, *nums, *ints))
 
 
 def records(made: DataFrame, how: Settings) -> DataFrame:
@@ -113,3 +107,11 @@ def failed_lines(rec: DataFrame, reads: DataFrame) -> DataFrame:
     )
     text = lambda c: F.coalesce(c, F.lit(""))
     return reads.where("bcid is null").select(F.concat_ws("\n", text("header"), text("seq"), text("plus"), text("qual")).alias("value")).unionByName(lost)
+
+
+def sorted_lines(reads: DataFrame) -> DataFrame:
+    """Assigned reads as records in the order of their groups, each header ending in ``;UBID=`` and the group."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    head = F.concat(text("header"), F.lit(";UBID="), F.col("bcid").cast("string"))
+    ordered = reads.where("bcid is not null").orderBy("bcid", "file_idx", "read_idx")
+    return ordered.select(F.concat_ws("\n", head, text("seq"), text("plus"), text("qual")).alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from readloom.config import Context, Extraction, Settings
-from readloom.functions.dna import LOG_RIGHT, LOG_WRONG, WEIGHTS, tag_id, true_barcode
+from readloom.functions.dna import LOG_RIGHT, LOG_WRONG, WEIGHTS, partial_barcode, quality_stats, tag_id, true_barcode
 from readloom.functions.text import value_sql
 from readloom.operators import barcodes, cluster, consensus, evaluate, pileup, split
 from readloom.operators.salted import group_summary, heavy_groups
@@ -399,3 +399,41 @@ def usable_consensus(spark, sf):
 def tagged_ids(spark, sf):
     tagged = F.concat("header", F.lit(";UBID="), F.col("read_idx").cast("string"))
     return table(spark, sf, "reads").select("read_idx", tag_id(tagged).alias("ubid"))
+
+
+@query(
+    "sorted_fastq",
+    f"""SELECT concat_ws(chr(10), coalesce(header, '') || ';UBID=' || bcid, coalesce(seq, ''), coalesce(plus, ''), coalesce(qual, '')) AS value
+    FROM ({_ASSIGNED}) WHERE bcid IS NOT NULL""",
+)
+def sorted_fastq(spark, sf):
+    return consensus.sorted_lines(_exact(spark, sf).assigned)
+
+
+@query("partial_barcodes", "SELECT read_idx, substr(seq, 101, 20) AS barcode FROM reads")
+def partial_barcodes(spark, sf):
+    return table(spark, sf, "reads").select("read_idx", partial_barcode(F.col("seq"), 100, 20).alias("barcode"))
+
+
+@query(
+    "paired_reads",
+    """SELECT a.file_idx, a.read_idx, a.seq, b.header AS header2, b.seq AS seq2, b.qual AS qual2 FROM reads a
+    JOIN reads b ON b.file_idx = a.file_idx AND b.read_idx = a.read_idx""",
+)
+def paired_reads(spark, sf):
+    r = table(spark, sf, "reads")
+    return evaluate.paired(r, r).select("file_idx", "read_idx", "seq", "header2", "seq2", "qual2")
+
+
+@query("unknown_bases", f"SELECT n_unknown, count(*) AS n_reads FROM ({_FOUND}) GROUP BY n_unknown")
+def unknown_base_counts(spark, sf):
+    return _found(spark, sf).groupBy("n_unknown").agg(F.count(F.lit(1)).alias("n_reads"))
+
+
+@query(
+    "quality_stats",
+    f"SELECT read_idx, CAST(CASE WHEN qual = '' THEN 0 ELSE list_min({_Q}) END AS INT) AS min_q, CAST(CASE WHEN qual = '' THEN 0 ELSE list_sum({_Q}) // length(qual) END AS INT) AS mean_q FROM reads",
+)
+def quality(spark, sf):
+    least, mean = quality_stats(F.col("qual"))
+    return table(spark, sf, "reads").select("read_idx", least.alias("min_q"), mean.alias("mean_q"))
