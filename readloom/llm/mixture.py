@@ -23,7 +23,8 @@ MAX_SOURCES = 10_000
 def _measure(path: str):
     def run(batches):
         for b in batches:
-            counts = [tokens.count(t, path) if t else 0 for t in b.column("text").to_pylist()]
+            texts = b.column("text")
+            counts = [tokens.count(t.as_py(), path) if t.is_valid else 0 for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("source"), b.column("text_key"), pa.array(counts, pa.int64())],
                 names=["doc_id", "source", "text_key", "tokens"],
