@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from readloom.config import Settings
 from readloom.operators import barcodes, cluster, consensus, evaluate
-from readloom.session import Scratch
+from readloom.session import Scratch, spread
 
 
 @dataclass
@@ -41,7 +41,7 @@ class Run:
 def run(reads: DataFrame, how: Settings) -> Run:
     """Extract, count, cluster, assign and collapse ``reads`` (the columns of a FASTQ scan)."""
     scratch = Scratch(reads.sparkSession)
-    found = barcodes.extracted(reads, how)
+    found = barcodes.extracted(spread(reads), how)
     counts = scratch.put(barcodes.barcode_counts(found))
     exact = how.max_mismatches == 0 and how.extraction.max_indels <= 0
     assignments = scratch.put(

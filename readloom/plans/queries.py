@@ -10,7 +10,7 @@ from readloom.functions.text import value_sql
 from readloom.operators import barcodes, cluster, consensus, evaluate, pileup, split
 from readloom.operators.salted import group_summary, heavy_groups
 from readloom.plans import pipeline
-from readloom.session import table
+from readloom.session import spread, table
 from readloom.sources import error_parse
 
 QUERIES: dict = {}
@@ -114,7 +114,7 @@ _ASSIGNED = f"""SELECT f.*, k.bcid FROM ({_FOUND}) f LEFT JOIN (SELECT barcode,
 
 
 def _found(spark, sf, how=HOW):
-    return barcodes.extracted(table(spark, sf, "reads"), how)
+    return barcodes.extracted(spread(table(spark, sf, "reads")), how)
 
 
 def _exact(spark, sf):
