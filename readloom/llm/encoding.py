@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.session import Scratch
+from readloom.session import Scratch, spread
 
 LOST = "�"
 #: A word is known if it makes up this share of all words; so at most 1/KNOWN words are known, and these are broadcast.
@@ -431,6 +431,7 @@ def misread_documents(docs: DataFrame) -> DataFrame:
     Whole texts are searched; columns other than doc_id and text are ignored. An empty table gives
     an empty result.
     """
+    docs = spread(docs.select("doc_id", "text"))
     words = vocabulary(docs)
     return (
         docs.where(F.col("text").rlike(r"[^\x00-\x7f]"))

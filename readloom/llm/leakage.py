@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readloom.session import spread
+
 #: Words of the shingles that are min-hashed, and of the passages that count as leaked.
 SHINGLE = 5
 PASSAGE = 8
@@ -145,7 +147,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, broadcast_passages: int = BR
         .distinct()
         .withColumnRenamed("id", "item_id")
     )
-    texts = docs.select("doc_id", cue_words(F.col("text")).alias("words"))
+    texts = spread(docs.select("doc_id", "text")).select("doc_id", cue_words(F.col("text")).alias("words"))
     head = index.limit(broadcast_passages + 1).toPandas()
     if len(head) <= broadcast_passages:
         if not len(head):

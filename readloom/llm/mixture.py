@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from readloom.functions.text import label_of
 from readloom.llm import tokens
 from readloom.llm.components import _hot, _lookup
-from readloom.session import Scratch
+from readloom.session import Scratch, spread
 
 #: Hash buckets in which a seeded selection finds its cut.
 BUCKETS = 4096
@@ -36,6 +36,7 @@ def _measure(path: str):
 def measured_documents(docs: DataFrame, targets: DataFrame, path: str = tokens.VOCABULARY) -> DataFrame:
     """(doc_id, source, text_key, tokens) of the documents whose source is listed; whole texts are counted."""
     listed = targets.select(label_of("source").alias("source")).distinct()
+    docs = spread(docs.select("doc_id", "source", "text"))
     rows = docs.select("doc_id", label_of("source").alias("source"), F.unhex(F.md5("text")).alias("text_key"), "text")
     rows = rows.join(F.broadcast(listed), "source", "left_semi").select("doc_id", "source", "text_key", "text")
     return rows.mapInArrow(_measure(path), "doc_id long, source string, text_key binary, tokens long")
