@@ -100,7 +100,7 @@ CONTEXT = Settings(extraction=Extraction(context=Context.parse("GATCCGTTANNNNNNT
 
 _FIXED = "CASE WHEN length(seq) >= 20 THEN upper(substr(seq, 1, 20)) END"
 _FOUND = f"""SELECT *, CASE WHEN n_unknown IS NULL OR n_unknown > 2 THEN 'failed' WHEN n_unknown > 0 THEN 'unknown' ELSE 'ok' END AS status
-    FROM (SELECT *, CASE WHEN regexp_full_match(barcode, '[ACGTN]*') THEN length(barcode) - length(replace(barcode, 'N', '')) END AS n_unknown
+    FROM (SELECT *, CASE WHEN regexp_full_match(barcode, '[ACGTN]*') THEN CAST(length(barcode) - length(replace(barcode, 'N', '')) AS INT) END AS n_unknown
     FROM (SELECT *, {_FIXED} AS barcode FROM reads))"""
 _COUNTS = f"SELECT barcode, count(*) AS n FROM ({_FOUND}) WHERE status = 'ok' GROUP BY barcode"
 _EXACT_IDS = f"SELECT barcode, n, row_number() OVER (ORDER BY n DESC, barcode) AS bcid FROM ({_COUNTS})"
@@ -121,7 +121,7 @@ def _exact(spark, sf):
     return pipeline.run(table(spark, sf, "reads"), EXACT)
 
 
-@query("scan_reads", "SELECT file_idx, count(*) AS n_reads, count(seq) AS n_seq, sum(length(seq)) AS n_bases FROM reads GROUP BY file_idx")
+@query("scan_reads", "SELECT file_idx, count(*) AS n_reads, count(seq) AS n_seq, CAST(sum(length(seq)) AS BIGINT) AS n_bases FROM reads GROUP BY file_idx")
 def scan_reads(spark, sf):
     return table(spark, sf, "reads").groupBy("file_idx").agg(
         F.count(F.lit(1)).alias("n_reads"), F.count("seq").alias("n_seq"), F.sum(F.length("seq")).alias("n_bases")
@@ -282,7 +282,7 @@ def consensus_failed(spark, sf):
     return _exact(spark, sf).consensus.where("bc is null").select("bcid", "count", "seq", "qual")
 
 
-@query("error_rates", f"SELECT CAST(sum(calls) AS BIGINT) AS calls, round(sum(missense) / sum(calls), 9) AS missense_rate, 0.0 AS indel_rate FROM ({_RECORDS})")
+@query("error_rates", f"SELECT CAST(sum(calls) AS BIGINT) AS calls, round(sum(missense) / sum(calls), 9) AS missense_rate, CAST(0 AS DOUBLE) AS indel_rate FROM ({_RECORDS})")
 def error_rates(spark, sf):
     rates = _exact(spark, sf).rates()
     return rates.select("calls", F.round("missense_rate", 9).alias("missense_rate"), "indel_rate")
@@ -304,7 +304,7 @@ def failed_fastq(spark, sf):
     return pipeline.run(table(spark, sf, "reads"), EXACT).failed_lines()
 
 
-_SIZES = f"SELECT bcid, 1 AS n_barcodes, n AS n_reads FROM ({_EXACT_IDS})"
+_SIZES = f"SELECT bcid, CAST(1 AS BIGINT) AS n_barcodes, n AS n_reads FROM ({_EXACT_IDS})"
 
 
 @query("cluster_sizes", _SIZES)
@@ -315,7 +315,7 @@ def cluster_sizes(spark, sf):
 
 @query(
     "size_histogram",
-    f"SELECT 1 AS n_barcodes, count(*) AS n_clusters, min(n_reads) AS least_reads, max(n_reads) AS most_reads, round(avg(n_reads), 6) AS mean_reads FROM ({_SIZES})",
+    f"SELECT CAST(1 AS BIGINT) AS n_barcodes, count(*) AS n_clusters, min(n_reads) AS least_reads, max(n_reads) AS most_reads, round(avg(n_reads), 6) AS mean_reads FROM ({_SIZES})",
 )
 def size_histogram(spark, sf):
     r = _exact(spark, sf)
@@ -355,7 +355,7 @@ def diameters(spark, sf):
 
 @query(
     "split_files",
-    """SELECT file_idx, read_idx, barcode, run, CAST((run - 1) // 100 + 1 AS INT) AS file_no FROM (
+    """SELECT file_idx, read_idx, barcode, CAST(run AS BIGINT) AS run, CAST((run - 1) // 100 + 1 AS INT) AS file_no FROM (
     SELECT *, sum(CASE WHEN barcode IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY file_idx ORDER BY read_idx) AS run FROM (
     SELECT *, lag(barcode) OVER (PARTITION BY file_idx ORDER BY read_idx) AS before FROM (
     SELECT file_idx, read_idx, substr(seq, 1, 4) AS barcode FROM reads WHERE length(seq) >= 4)))""",
