@@ -5,10 +5,26 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, so their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_readloom_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    made = Path(tempfile.mkdtemp(prefix="readloom-")) / "readloom.zip"
+    with zipfile.ZipFile(made, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    context.addPyFile(str(made))
+    context._readloom_shipped = True
+
+
 def local_session(app: str = "readloom", cpus: int | None = None, partitions: int | None = None) -> SparkSession:
     """A local session for tests and the bench; on a cluster the caller brings its own."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
@@ -26,6 +42,7 @@ def local_session(app: str = "readloom", cpus: int | None = None, partitions: in
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -61,6 +78,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from readloom.session import ship
+
 SCHEMA = "file_idx int, read_idx bigint, header string, seq string, plus string, qual string"
 MAX_LINE = 100_000
 SPLIT_BYTES = 64 << 20
@@ -106,6 +108,7 @@ def read_fastq(spark: SparkSession, paths: list[str], max_line: int = MAX_LINE,
     every range knows the number of its first line and with it where records start. Gzip files
     cannot be cut and take one task each. The files must be readable by all executors.
     """
+    ship(spark)
     ranges = []
     for i, path in enumerate(paths):
         if not os.path.exists(path):
