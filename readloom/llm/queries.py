@@ -63,16 +63,41 @@ def p5_found(spark, sf):
 
 @query(
     "p5_records",
-    f"""{_BEST} SELECT g.b AS bc, s.seq, s.qual, n.n_reads FROM g
+    f"""{_BEST} SELECT g.b AS bc, s.seq, s.qual, CAST(n.n_reads AS BIGINT) AS n_reads FROM g
     LEFT JOIN s ON s.b = g.b AND s.k = 1 LEFT JOIN n ON n.b = g.b AND n.k = 1""",
 )
 def p5_records(spark, sf):
-    return survivorship.survivors(table(spark, sf, "consensus"), infer=False).select("bc", "seq", "qual", "n_reads")
+    return survivorship.survivors(table(spark, sf, "consensus"), texts=True).select("bc", "seq", "qual", "n_reads")
 
 
-@query("p5_currency")
+_LEARNED = {"min_q": "CASE WHEN min_q >= 0 THEN min_q END", "mean_q": "CASE WHEN mean_q >= 0 THEN mean_q END",
+            "n_reads_inferred": "CASE WHEN n_reads > 0 THEN n_reads END"}
+_VALUES = " UNION ALL ".join(f"SELECT '{f}' AS f, {value_sql('bc')} AS b, rec_id, made_at, CAST({v} AS BIGINT) AS v FROM consensus WHERE bc IS NOT NULL" for f, v in _LEARNED.items())
+
+
+@query(
+    "p5_currency",
+    f"""WITH RECURSIVE x AS ({_VALUES}),
+    seen AS (SELECT f, u, v, count(*) AS n FROM
+      (SELECT f, lag(v) OVER (PARTITION BY f, b ORDER BY made_at, rec_id) AS u, v FROM x WHERE made_at IS NOT NULL) WHERE u <> v GROUP BY f, u, v),
+    total AS (SELECT f, sum(n) AS t FROM seen GROUP BY f),
+    rel AS (SELECT a.f, a.u, a.v FROM seen a JOIN total USING (f) LEFT JOIN seen r ON r.f = a.f AND r.u = a.v AND r.v = a.u
+      WHERE a.n >= {survivorship.MIN_SUPPORT} AND a.n >= t * {survivorship.MIN_SHARE} AND a.n > coalesce(r.n, 0)
+      AND (a.n - coalesce(r.n, 0)) ** 2 > {survivorship.DEVIATIONS ** 2} * (a.n + coalesce(r.n, 0))),
+    reach AS (SELECT f, u, v FROM rel UNION SELECT r.f, r.u, s.v FROM reach r JOIN rel s ON s.f = r.f AND s.u = r.v),
+    aft AS (SELECT f, u, v FROM reach WHERE u <> v EXCEPT SELECT f, v, u FROM reach),
+    d AS (SELECT f, b, v FROM x WHERE made_at IS NOT NULL AND v IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY f, b ORDER BY made_at DESC, rec_id DESC) = 1),
+    un AS (SELECT f, b, v, max(rec_id) AS rec FROM x WHERE made_at IS NULL AND v IS NOT NULL GROUP BY f, b, v),
+    pool AS (SELECT un.* FROM un LEFT JOIN d USING (f, b) WHERE d.v IS NULL OR EXISTS (SELECT 1 FROM aft WHERE aft.f = un.f AND aft.u = d.v AND aft.v = un.v)),
+    won AS (SELECT f, b, v FROM pool p WHERE NOT EXISTS (SELECT 1 FROM pool q JOIN aft ON aft.f = q.f AND aft.v = q.v WHERE q.f = p.f AND q.b = p.b AND aft.u = p.v)
+      QUALIFY row_number() OVER (PARTITION BY f, b ORDER BY rec DESC) = 1),
+    y AS (SELECT f, b, coalesce(won.v, d.v) AS v FROM won FULL JOIN d USING (f, b))
+    SELECT b AS bc, count(*) AS n_rows, {', '.join(f"(SELECT v FROM y WHERE y.f = '{f}' AND y.b = c.b) AS {f}" for f in _LEARNED)}
+    FROM (SELECT {value_sql('bc')} AS b FROM consensus WHERE bc IS NOT NULL) c GROUP BY b HAVING count(*) >= 2""",
+)
 def p5_currency(spark, sf):
-    return survivorship.survivors(table(spark, sf, "consensus"))
+    return survivorship.survivors(table(spark, sf, "consensus"), survivorship.CURRENT).select("bc", "n_rows", *survivorship.CURRENT)
 
 
 @query(
