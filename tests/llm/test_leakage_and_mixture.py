@@ -6,7 +6,7 @@ import re
 import pytest
 
 from readloom.llm import tokens
-from readloom.llm.leakage import leaked_items
+from readloom.llm.leakage import contained_items, leaked_items
 from readloom.llm.mixture import Mixture, plan_flow
 
 DOCS = "doc_id long, text string, item_id string, words int"
@@ -22,16 +22,16 @@ def spoken(t):
     return re.sub(r"\{[^}]*\}", " ", re.sub("<[^>]*>", " ", "\n".join(keep)))
 
 
-def plain(docs, items):
+def plain(docs, items, size=8):
     index = {}
     for i, t in items:
         w = words(t or "")
-        for k in range(len(w) - 7):
-            index.setdefault(tuple(w[k : k + 8]), set()).add(i)
+        for k in range(len(w) - size + 1):
+            index.setdefault(tuple(w[k : k + size]), set()).add(i)
     out = {}
     for d, t in docs:
         w = words(spoken(t or ""))
-        for p in {tuple(w[k : k + 8]) for k in range(len(w) - 7)}:
+        for p in {tuple(w[k : k + size]) for k in range(len(w) - size + 1)}:
             for i in index.get(p, ()):
                 out.setdefault((d, i), set()).add(p)
     return {k: len(v) for k, v in out.items()}
@@ -49,9 +49,9 @@ def subtitle(rng, text):
     return rng.choice(["\n\n", "\r\n\r\n"]).join(out).replace("\n", rng.choice(["\n", "\r\n"])).replace("\r\r", "\r")
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
-def test_leaks_equal_a_plain_search(spark, limit):
-    rng = random.Random(limit)
+@pytest.mark.parametrize("seed", range(2))
+def test_leaks_equal_a_plain_search(spark, seed):
+    rng = random.Random(seed)
     vocab = [f"w{i}" for i in range(40)] + ["Été", "ΣΊΓΜΑ", "don’t"]
     items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([5, 8, 12, 30])))) for i in range(25)] + [(98, None), (99, "")]
     items.append((100, items[3][1]))
@@ -63,21 +63,27 @@ def test_leaks_equal_a_plain_search(spark, limit):
             k = rng.randint(0, max(0, len(w) - 8))
             body[5:5] = w[k : k + rng.randint(6, 20)]
         docs.append((d, subtitle(rng, " ".join(body))))
-    docs += [(200, None), (201, ""), (202, "5\n5 --> 6\n"), docs[0]]
+    docs += [(200, None), (201, ""), (202, "5\n5 --> 6\n"), docs[0], (203, items[4][1]), (203, items[5][1]), (203, f"w1 {items[4][1]}")]
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in docs], DOCS).repartition(4)
     it = spark.createDataFrame(items, "item_id long, text string")
     got = {}
-    for r in leaked_items(df, it, broadcast_passages=limit).collect():
+    for r in leaked_items(df, it).collect():
         got[r["doc_id"], r["item_id"]] = r
     want = plain(docs, items)
     assert {k: r["n_passages"] for k, r in got.items()} == want and want
     assert all(0 < r["containment"] <= 1 for r in got.values())
+    own = plain([(i, t) for i, t in items], items, 5)
+    for threshold in (0.3, 0.8, 1.0):
+        shared = {k: n for k, n in plain(docs, items, 5).items() if n >= threshold * own[k[1], k[1]] - 1e-9}
+        found = contained_items(df, it, threshold).collect()
+        assert {(r["doc_id"], r["item_id"]): r["n_shared"] for r in found} == shared and shared
 
 
 def test_leaks_of_nothing(spark):
     df = spark.createDataFrame([(1, "a b c d e f g h i", "x", 1)], DOCS)
     it = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
     assert leaked_items(df, it).count() == 1
+    assert contained_items(df, it).count() == 1 and contained_items(df.limit(0), it).collect() == [] == contained_items(df, it.limit(0)).collect()
     assert leaked_items(df.limit(0), it).collect() == [] and leaked_items(df, it.limit(0)).collect() == []
     long = " ".join(f"x{i}" for i in range(200_000)) + " a b c d e f g h"
     assert leaked_items(spark.createDataFrame([(1, long, "x", 1)], DOCS), it).count() == 1
