@@ -1,27 +1,29 @@
 """Minimum-cost error parse of raw sequencing records.
 
-A record is accepted by the parse when some reading of it as four typed lines costs nothing. A
-record without such a reading gets the cheapest list of edits (delimiters and quotes inserted or
-deleted, values of the wrong type replaced) that would make it one, and the earliest check those
-edits touch is its reason.
-
-The dynamic program has two levels. Over lines, it lays the physical lines onto the four roles and
-decides which line ends to delete or insert. Within a header it aligns the tokens with the
-template of a consensus header, or balances quotes. The zero-cost readings form a regular
-language, which the JVM tests with compiled patterns; only other records enter the program.
+A record is a row of tokens: line ends, the delimiters ``@ = ; +``, quotes, and the values between them. A
+weighted automaton reads the four lines of a record of either header form. Every token it cannot read has to
+be edited: inserting or deleting a delimiter, quote or line end costs 1; inserting, deleting or
+replacing a value costs 2. Dynamic programming over (token, state) finds the cheapest edits that make
+the record readable. A record that costs nothing loads; of any other, the earliest check its edits touch is
+the reason.
+
+A record of four lines keeps them, so its line ends are not edited, and a sequence and a quality that are both kept but
+differ in length cost one replaced value more. A record of another number of lines fails for its lines;
+its cost is that of four readable lines, whose lengths are not compared.
+
+The zero-cost records are all but a regular language, which the JVM tests with one compiled pattern; only the
+others enter the program.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 REASONS = ("lines", "header", "sequence", "separator", "quality", "length")
-ROLES = ("header", "sequence", "separator", "quality")
 
 # The grammar of the two header forms and of the other lines.
 _INT = "[0-9]+"
@@ -41,196 +43,177 @@ VISIBLE = "[!-~]"
 SEQUENCE = "[ACGTNacgtn]+"
 QUALITY = "[!-~]*"
 
-RESULT = T.StructType(
-    [
-        T.StructField("cost", T.IntegerType()),
-        T.StructField("reason", T.StringType()),
-        T.StructField("edits", T.ArrayType(T.StringType())),
-    ]
-)
+#: What the pattern leaves to other tests: that a header's quotes are paired and the lengths are equal.
+_FOUR_LINES = rf"\A(?:{CONSENSUS_HEADER}|(?!@bc=)@{VISIBLE}[^\n]*)\r?\n{SEQUENCE}\r?\n\+[^\n]*\n{VISIBLE}+\r?\n?\z"
 
 
-def lines_of(raw: str | None) -> list[str]:
-    """One LF at the very end is dropped, then one CR at the end of each line."""
-    if raw is None:
-        return []
-    if raw.endswith("\n"):
-        raw = raw[:-1]
-    return [x[:-1] if x.endswith("\r") else x for x in raw.split("\n")]
+def line(raw: Column, i: int) -> Column:
+    """Line i of a record without its line end, LF or CR and LF."""
+    x = F.get(F.split(raw, "\n", -1), F.lit(i))
+    return F.when(x.endswith("\r"), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x)
 
 
-def lines_column(raw: Column) -> Column:
-    return F.transform(
-        F.split(F.regexp_replace(raw, r"\n\z", ""), "\n", -1), lambda x: F.regexp_replace(x, r"\r\z", "")
-    )
+def zero_cost(raw: Column) -> Column:
+    """Whether a record reads as it stands; never null."""
+    head, lines = F.substring_index(raw, "\n", 1), F.split(raw, "\n", -1)
+    paired = (F.length(head) - F.length(F.replace(head, F.lit('"'), F.lit("")))) % 2 == 0
+    size = lambda i: F.length(F.rtrim(F.get(lines, F.lit(i)), F.lit("\r")))
+    return F.coalesce(raw.rlike(_FOUR_LINES) & paired & (size(1) == size(3)), F.lit(False))
 
 
-def zero_cost(lines: Column) -> Column:
-    """Whether four lines lie in the language of the zero-cost readings; never null."""
-    h, s, p, q = (F.get(lines, i) for i in range(4))
-    header = (
-        h.rlike(rf"\A@{VISIBLE}")
-        & (F.length(F.regexp_replace(h, '[^"]', "")) % 2 == 0)
-        & (~h.startswith("@bc=") | h.rlike(rf"\A{CONSENSUS_HEADER}\z"))
-    )
-    ok = (
-        header
-        & s.rlike(rf"\A{SEQUENCE}\z")
-        & p.startswith("+")
-        & q.rlike(rf"\A{QUALITY}\z")
-        & (F.length(s) == F.length(q))
-    )
-    return F.coalesce(F.when(F.size(lines) == 4, ok), F.lit(False))
-
-
-_template = [("delim", "@")]
-for _i, (_k, _v) in enumerate(HEADER_FIELDS):
-    _template += ([("delim", ";")] if _i else []) + [("key", _k), ("delim", "="), ("value", _v)]
-_TEMPLATE = tuple(_template)
-_FULL = re.compile(CONSENSUS_HEADER)
-_SEQ = re.compile(SEQUENCE)
-_QUAL = re.compile(QUALITY)
-_START = re.compile(f"@{VISIBLE}")
-
-
-def _fits(kind: str, want: str, token: str) -> bool:
-    return re.fullmatch(want, token) is not None if kind == "value" else token == want
-
-
-def header_edits(header: str) -> list[str]:
-    """The cheapest edits that make a line a header; none for a valid header."""
-    if not header.startswith("@bc="):
-        edits = []
-        if not _START.match(header):
-            edits.append("insert @" if not header.startswith("@") else "insert a name after @")
-        if header.count('"') % 2:
-            edits.append(f'delete " at {header.rindex(chr(34))}')
-        return edits
-    if _FULL.fullmatch(header):
-        return []
-    tokens = [t for t in re.split(r'([@=;"])', header) if t]
-    n, m = len(tokens), len(_TEMPLATE)
-    far = 10**9
-    # cost[i][j]: tokens[:i] turned into template[:j]; inserting or deleting a delimiter or quote
-    # costs 1, a name or value 2, a value of the wrong type replaced 2.
-    weight = [1 if t in '@=;"' else 2 for t in tokens]
-    want = [1 if k == "delim" else 2 for k, _ in _TEMPLATE]
-    cost = [[far] * (m + 1) for _ in range(n + 1)]
-    back = [[""] * (m + 1) for _ in range(n + 1)]
-    cost[0][0] = 0
-    for i in range(n + 1):
-        for j in range(m + 1):
-            here = cost[i][j]
-            if i < n and here + weight[i] < cost[i + 1][j]:
-                cost[i + 1][j], back[i + 1][j] = here + weight[i], "delete"
-            if j < m and here + want[j] < cost[i][j + 1]:
-                cost[i][j + 1], back[i][j + 1] = here + want[j], "insert"
-            if i < n and j < m:
-                kind, w = _TEMPLATE[j]
-                if _fits(kind, w, tokens[i]):
-                    step, name = 0, "keep"
-                elif (kind == "delim") == (tokens[i] in '@=;"'):
-                    step, name = 2, "replace"
-                else:
-                    continue
-                if here + step < cost[i + 1][j + 1]:
-                    cost[i + 1][j + 1], back[i + 1][j + 1] = here + step, name
-    edits, i, j = [], n, m
-    while i or j:
-        op = back[i][j]
-        if op == "delete":
-            i -= 1
-            edits.append(f"delete {tokens[i]}")
-        elif op == "insert":
-            j -= 1
-            edits.append(f"insert {_TEMPLATE[j][1] if _TEMPLATE[j][0] != 'value' else 'a value'}")
-        else:
-            i, j = i - 1, j - 1
-            if op == "replace":
-                edits.append(f"replace {tokens[i]}")
-    return edits[::-1]
+_TOKEN = re.compile(r'\r?\n|[@=;"+]|[^@=;"+\r\n]+|\r')
+_SEQ, _VISIBLE_ONLY = re.compile(SEQUENCE), re.compile(f"{VISIBLE}+")
+_FAR = 1 << 40
 
 
-def _type_cost(role: int, line: str) -> int:
-    """How far a line is from its role, for laying lines onto roles."""
-    if role == 0:
-        return 0 if _START.match(line) else 2
-    if role == 1:
-        return 0 if _SEQ.fullmatch(line) else 2
-    if role == 2:
-        return 0 if line.startswith("+") else 2
-    return 0 if _QUAL.fullmatch(line) else 2
+def _is_value(token: str) -> bool:
+    return token not in '@=;"+' and token != "\n"
 
 
-def line_edits(lines: list[str]) -> tuple[list[str], list[str | None]]:
-    """Line ends to delete or insert, and the text each role then holds.
+class Machine:
+    """The automaton of a record with one of the header forms.
 
-    Four lines keep their places. More than four only lose line ends, fewer only gain them, so
-    the program is over (line, role) with three steps: next role, same role (line end deleted),
-    role left empty (line end inserted). Costs are 1 for each line end and the type costs.
+    ``reads[s](token)`` is the state after the token, or None; ``inserts[s]`` lists (state after, token, cost) of what may be put
+    in; ``replaced[s]`` is the state after a value that is replaced, or None; ``role[s]`` is the line a state is in.
     """
-    k = len(lines)
-    if k == 4:
-        return [], list(lines)
-    far = 10**9
-    cost = [[far] * 5 for _ in range(k + 1)]
-    back: list[list[str]] = [[""] * 5 for _ in range(k + 1)]
-    cost[0][0] = 0
-    for i in range(k + 1):
-        for j in range(5):
-            here = cost[i][j]
-            if here == far:
-                continue
-            if i < k and j < 4 and (c := here + _type_cost(j, lines[i])) < cost[i + 1][j + 1]:
-                cost[i + 1][j + 1], back[i + 1][j + 1] = c, "next"
-            if k > 4 and i < k and j and (c := here + 1 + _type_cost(j - 1, lines[i])) < cost[i + 1][j]:
-                cost[i + 1][j], back[i + 1][j] = c, "join"
-            if k < 4 and j < 4 and here + 1 < cost[i][j + 1]:
-                cost[i][j + 1], back[i][j + 1] = here + 1, "empty"
-    edits, texts, i, j, tail = [], [None] * 4, k, 4, ""
-    while i or j:
-        op = back[i][j]
-        if op == "next":
-            i, j = i - 1, j - 1
-            texts[j], tail = lines[i] + tail, ""
-        elif op == "join":
-            i -= 1
-            tail = lines[i] + tail
-            edits.append(f"delete the line end before line {i + 1}")
+
+    def __init__(self, consensus: bool):
+        self.reads, self.inserts, self.replaced, self.role = [], [], [], []
+        if consensus:
+            parts = [("@", None)]
+            for k, pattern in HEADER_FIELDS:
+                parts += [(";", None)] * (len(parts) > 1) + [(k, k), ("=", None), ("a value", pattern)]
+            for n, (shown, pattern) in enumerate(parts):
+                self._header_part(n, shown, pattern)
+            end = len(parts)
+        else:
+            # before @, after it, an even and an odd number of quotes, after an @ put in (not before another)
+            named = lambda t: 3 if t == '"' else 2 if t != "\n" and "!" <= t[0] <= "~" else None
+            self._state("header", lambda t: 1 if t == "@" else None, [(4, "@", 1)])
+            self._state("header", named, [(2, "a name", 2), (3, '"', 1)], 2)
+            self._state("header", lambda t: 3 if t == '"' else 2, [(3, '"', 1)])
+            self._state("header", lambda t: 2 if t == '"' else None if t == "\n" else 3, [(2, '"', 1)])
+            self._state("header", lambda t: None if t == "@" else named(t), [(2, "a name", 2), (3, '"', 1)], 2)
+            end = 2
+        start = len(self.role) + consensus
+        if consensus:
+            self._state("header", lambda t: start if t == "\n" else None, [])
         else:
-            j -= 1
-            edits.append(f"insert a line end for the {ROLES[j]}")
-    return edits[::-1], texts
+            self.reads[end] = lambda t: 3 if t == '"' else start if t == "\n" else 2
+        self.inserts[end].append((start, "\n", 1))
+        seq, plus = start, start + 2
+        self._state("sequence", lambda t: seq + 1 if _SEQ.fullmatch(t) else None, [(seq + 1, "a sequence", 2)], seq + 1)
+        self._state("sequence", lambda t: plus if t == "\n" else seq + 1 if _SEQ.fullmatch(t) else None, [(plus, "\n", 1)], seq + 1)
+        self._state("separator", lambda t: plus + 1 if t == "+" else None, [(plus + 1, "+", 1)])
+        self._state("separator", lambda t: plus + 2 if t == "\n" else plus + 1, [(plus + 2, "\n", 1)])
+        self._state("quality", lambda t: plus + 2 if _VISIBLE_ONLY.fullmatch(t) else None, [], plus + 2)
+        self.end = plus + 2
+
+    def _state(self, role, reads, inserts, replaced=None):
+        self.role.append(role)
+        self.reads.append(reads)
+        self.inserts.append(inserts)
+        self.replaced.append(replaced)
+
+    def _header_part(self, n: int, shown: str, pattern: str | None) -> None:
+        if pattern is None:
+            self._state("header", lambda t: n + 1 if t == shown else None, [(n + 1, shown, 1)])
+        else:
+            fits = re.compile(pattern).fullmatch
+            self._state("header", lambda t: n + 1 if fits(t) else None, [(n + 1, shown, 2)], n + 1)
+
+
+MACHINES = (Machine(False), Machine(True))
+
+
+def tokens_of(raw: str) -> list[str]:
+    """One LF at the very end is dropped, then one CR at the end of each line."""
+    raw = raw.removesuffix("\n").removesuffix("\r")
+    return ["\n" if t == "\r\n" else t for t in _TOKEN.findall(raw)]
+
+
+def cheapest(tokens: list[str], m: Machine, keep_lines: bool) -> tuple[int, list[tuple[str, int, int, str]]]:
+    """(cost, steps) of the cheapest path; a step is (what was done, token number, state before, text)."""
+    costs: dict[int, int] = {0: 0}
+    trail: list[dict[int, tuple[str, int, str]]] = []
+
+    def spread(costs: dict[int, int], back: dict[int, tuple[str, int, str]]) -> None:
+        todo = sorted(costs)
+        while todo:
+            s = todo.pop(0)
+            for to, text, c in m.inserts[s]:
+                if not (keep_lines and text == "\n") and costs[s] + c < costs.get(to, _FAR):
+                    costs[to], back[to] = costs[s] + c, ("insert", s, text)
+                    todo.append(to)
+
+    first: dict[int, tuple[str, int, str]] = {}
+    spread(costs, first)
+    trail.append(first)
+    for t in tokens:
+        nxt: dict[int, int] = {}
+        back: dict[int, tuple[str, int, str]] = {}
+
+        def go(s, to, c, name):
+            if c < nxt.get(to, _FAR):
+                nxt[to], back[to] = c, (name, s, t)
+
+        value = _is_value(t)
+        for s, c in costs.items():
+            to = m.reads[s](t)
+            if to is not None:
+                go(s, to, c, "keep")
+            if value and m.replaced[s] is not None:
+                go(s, m.replaced[s], c + 2, "replace")
+            if not (keep_lines and t == "\n"):
+                go(s, s, c + (2 if value else 1), "delete")
+        spread(nxt, back)
+        trail.append(back)
+        costs = nxt
+    steps, s, i = [], m.end, len(tokens)
+    while i or s:
+        name, before, text = trail[i][s]
+        steps.append((name, i - (name != "insert"), before, text))
+        i, s = i - (name != "insert"), before
+    return costs[m.end], steps[::-1]
 
 
 def parse_one(raw: str | None) -> tuple[int, str | None, list[str]]:
     """(cost, reason, edits) of one record; cost 0 and no reason for a record that loads."""
-    if raw is None:
-        return 4, "lines", ["insert a record"]
-    lines = lines_of(raw)
-    edits, texts = line_edits(lines)
-    found = [("lines", e) for e in edits]
-    header, seq, sep, qual = texts
-    if header is not None:
-        found += [("header", e) for e in header_edits(header)]
-    if seq is not None and not _SEQ.fullmatch(seq):
-        bad = re.findall("[^ACGTNacgtn]+", seq)
-        found += [("sequence", f"delete {b!r}") for b in bad] or [("sequence", "insert a sequence")]
-    if sep is not None and not sep.startswith("+"):
-        found.append(("separator", "insert +"))
-    if qual is not None and not _QUAL.fullmatch(qual):
-        found += [("quality", f"delete {b!r}") for b in re.findall("[^!-~]+", qual)]
-    if seq is not None and qual is not None and len(seq) != len(qual):
-        found.append(("length", f"quality is {len(qual) - len(seq):+d} characters off"))
+    tokens = tokens_of(raw or "")
+    four = raw is not None and tokens.count("\n") == 3
+    m = MACHINES[(raw or "").startswith("@bc=")]
+    cost, steps = cheapest(tokens, m, four)
+    found, size, free = [], {"sequence": 0, "quality": 0}, False
+    for name, _, s, text in steps:
+        role = m.role[s]
+        if name == "keep":
+            if role in size and text != "\n":
+                size[role] += len(text)
+            continue
+        free |= role in size and name != "delete"
+        if text == "\n":
+            found.append(("lines", f"{name} a line end"))
+        else:
+            found.append((role, f"{name} {text if name == 'insert' else repr(text)}"))
+    if four and not free and size["sequence"] != size["quality"]:
+        cost += 2
+        found.append(("length", f"replace the quality, {size['quality'] - size['sequence']:+d} characters off"))
     if not found:
         return 0, None, []
-    reason = min((r for r, _ in found), key=REASONS.index)
-    return len(found), reason, [f"{r}: {e}" for r, e in found]
+    return cost, min((r for r, _ in found), key=REASONS.index), [f"{r}: {e}" for r, e in found]
 
 
-@F.pandas_udf(RESULT)
-def _program(raw: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_one(x) for x in raw], columns=["cost", "reason", "edits"])
+def _program(at: int, keep: list[int], schema: pa.Schema):
+    def run(batches):
+        for b in batches:
+            done = [parse_one(x) for x in b.column(at).to_pylist()]
+            made = [pa.array([r[i] for r in done], schema.field(name).type) for i, name in enumerate(("cost", "reason", "edits"))]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), *made], names=schema.names)
+
+    return run
+
+
+_MADE = pa.schema([("cost", pa.int32()), ("reason", pa.string()), ("edits", pa.list_(pa.string()))])
 
 
 def parse_records(raw: DataFrame, text: str = "raw") -> DataFrame:
@@ -240,29 +223,25 @@ def parse_records(raw: DataFrame, text: str = "raw") -> DataFrame:
     columns of the input are kept; a column of the same name as a result column is replaced.
     An empty input gives an empty result. The length of a text is not bounded.
     """
-    made = ("header", "seq", "plus", "qual", "cost", "reason", "edits")
-    kept = [c for c in raw.columns if c not in made]
-    # both branches of a conditional around a Python function would be evaluated for all rows, so
-    # records that load pass it a null-free stub through the filter of a union
-    split = raw.select(*kept, lines_column(F.col(text)).alias("_lines")).withColumn("_ok", zero_cost(F.col("_lines")))
-    part = lambda i: F.get("_lines", i)
-    good = split.where("_ok").select(
+    parts = ("header", "seq", "plus", "qual")
+    kept = [c for c in raw.columns if c not in (*parts, *_MADE.names)]
+    good = raw.where(zero_cost(F.col(text))).select(
         *kept,
-        part(0).alias("header"),
-        part(1).alias("seq"),
-        part(2).alias("plus"),
-        part(3).alias("qual"),
+        *(line(F.col(text), i).alias(c) for i, c in enumerate(parts)),
         F.lit(0).alias("cost"),
         F.lit(None).cast("string").alias("reason"),
         F.array().cast("array<string>").alias("edits"),
     )
+    bad = raw.where(~zero_cost(F.col(text)))
+    if text not in kept:
+        bad = bad.select(*kept, F.col(text).alias("_text"))
+        at = len(kept)
+    else:
+        bad, at = bad.select(*kept), kept.index(text)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in bad.select(*kept).schema), "cost int, reason string, edits array<string>"])
+    run = _program(at, list(range(len(kept))), pa.schema([*(pa.field(c, pa.null()) for c in kept), *_MADE]))
     none = F.lit(None).cast("string")
-    bad = (
-        split.where(~F.col("_ok"))
-        .select(*kept, _program(F.col(text)).alias("_p"))
-        .select(*kept, *(none.alias(c) for c in made[:4]), "_p.cost", "_p.reason", "_p.edits")
-    )
-    return good.unionByName(bad)
+    return good.unionByName(bad.mapInArrow(run, schema).select(*kept, *(none.alias(c) for c in parts), *_MADE.names))
 
 
 def loaded(parsed: DataFrame) -> DataFrame:
@@ -271,14 +250,14 @@ def loaded(parsed: DataFrame) -> DataFrame:
     A count or id beyond the range of a bigint stays valid text and gives null.
     """
     spec = {"bcid": "bigint", "count": "bigint", "min_q": "bigint", "mean_q": "bigint"}
-    field = lambda k: F.regexp_extract("header", rf"\A@(?:[^;]*;)*?{k}=([^;]*)", 1)
+    values = F.split("header", "[=;]")
     is_consensus = F.col("header").startswith("@bc=")
     good = parsed.where(F.col("cost") == 0).drop("cost", "reason", "edits")
     return good.select(
         *[c for c in good.columns if c not in {k for k, _ in HEADER_FIELDS} and c != "raw"],
         *(
-            F.when(is_consensus, field(k).try_cast(spec.get(k, "string" if k == "bc" else "double"))).alias(k)
-            for k, _ in HEADER_FIELDS
+            F.when(is_consensus, F.get(values, F.lit(2 * i + 1)).try_cast(spec.get(k, "string" if k == "bc" else "double"))).alias(k)
+            for i, (k, _) in enumerate(HEADER_FIELDS)
         ),
     )
 

@@ -160,10 +160,81 @@ def test_very_long_records(spark):
     assert {r["raw_id"]: r["reason"] for r in ep.parse_records(df).collect()} == {1: None, 2: "lines", 3: "length"}
 
 
+def edits_of(header):
+    cost, reason, edits = ep.parse_one(f"{header}\nAC\n+\nII")
+    return cost, edits
+
+
 def test_header_edits_are_cheapest():
-    assert ep.header_edits(HEAD + ";") == ["delete ;"]
-    assert ep.header_edits(HEAD.replace("bcid=", "bcid==")) == ["delete ="]
-    assert ep.header_edits('@r"') == ['delete " at 2']
+    assert edits_of(HEAD + ";") == (1, ["header: delete ';'"])
+    assert edits_of(HEAD.replace("bcid=", "bcid==")) == (1, ["header: delete '='"])
+    assert edits_of(HEAD.replace("bcid=1", "bcid")) == (3, ["header: insert =", "header: insert a value"])
+    assert edits_of(HEAD.replace("=4", "=x")) == (2, ["header: replace 'x'"])
+    assert edits_of('@r"')[0] == edits_of('@"')[0] == edits_of("r")[0] == 1
+    assert edits_of("@")[0] == 2 and edits_of("")[0] == 3
+
+
+def plain_tokens(text):
+    return ["\n" if t == "\r\n" else t for t in re.findall(r'\r?\n|[@=;"+]|[^@=;"+\r\n]+|\r', text)]
+
+
+def reads_plainly(tokens, four):
+    """Whether a row of tokens reads as a record with a plain header, written down without an automaton."""
+    lines = "".join(tokens).split("\n")
+    if len(lines) != 4:
+        return False
+    h, s, p, q = lines
+    good = re.match("@[!-~]", h) and h.count('"') % 2 == 0 and re.fullmatch(ep.SEQUENCE, s) and p.startswith("+") and re.fullmatch(ep.QUALITY, q)
+    return bool(good) and (not four or len(s) == len(q))
+
+
+def brute_cost(raw, most):
+    """Cheapest edits by trying all of them."""
+    start = tuple(plain_tokens(raw.removesuffix("\n").removesuffix("\r")))
+    four = start.count("\n") == 3
+    best, todo = {start: 0}, {0: [start]}
+    for cost in range(most + 1):
+        for x in todo.get(cost, ()):
+            if best[x] < cost:
+                continue
+            if reads_plainly(x, four):
+                return cost
+            after = []
+            for i, t in enumerate(x):
+                value = t not in '@=;"+' and t != "\n"
+                if not (four and t == "\n"):
+                    after.append((x[:i] + x[i + 1 :], 2 if value else 1))
+                if value:
+                    after += [(x[:i] + (v,) + x[i + 1 :], 2) for v in ("A", "AC", "ACG")]
+            for i in range(len(x) + 1):
+                # @ and + are delimiters where a line begins, quotes in the header; elsewhere they belong to a value
+                role, begins = x[:i].count("\n"), i == 0 or x[i - 1] == "\n"
+                delimiters = ["@"] * (i == 0 and x[:1] != ("@",)) + ['"'] * (role == 0) + ["+"] * (role == 2 and begins) + ["\n"] * (not four)
+                after += [(x[:i] + (d,) + x[i:], 1) for d in delimiters]
+                after += [(x[:i] + (v,) + x[i:], 2) for v in ("A", "AC", "ACG")]
+            for y, c in after:
+                if cost + c <= most and cost + c < best.get(y, most + 1):
+                    best[y] = cost + c
+                    todo.setdefault(cost + c, []).append(y)
+    return None
+
+
+def test_costs_are_least():
+    rng = random.Random(5)
+    checked = 0
+    for _ in range(250):
+        lines = [rng.choice(["@r", "r", "@", '@"', '@r"x"', " r"]), rng.choice(["AC", "A;C", "X", ""]), rng.choice(["+", "x", ""]), rng.choice(["II", "I", "I I", ""])]
+        if rng.random() < 0.4:
+            lines.pop(rng.randrange(4))
+        if rng.random() < 0.15:
+            lines.insert(rng.randrange(len(lines) + 1), "A")
+        raw = "\n".join(lines)
+        cost = ep.parse_one(raw)[0]
+        if cost > 3 or raw.endswith("\n"):
+            continue
+        checked += 1
+        assert brute_cost(raw, 3) == cost, (raw, ep.parse_one(raw))
+    assert checked > 50
 
 
 def test_stream_front(spark, tmp_path):
