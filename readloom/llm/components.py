@@ -8,32 +8,28 @@ from pyspark.sql import functions as F
 from readloom.functions.text import value_of
 from readloom.session import Scratch
 
-#: A label with at least 1/HOT of all rows is salted; there are at most HOT such labels.
+#: A key is hot if it owns more than 1/HOT of the rows, and at least HOT_ROWS; there are at most HOT such keys.
 HOT = 64
+HOT_ROWS = 10_000
 SALTS = 32
 
 
 def _hot(df: DataFrame, key: str, rows: int) -> list:
-    """The at most HOT keys that own 1/HOT of the rows or more."""
-    if rows < 50_000:
+    """The at most HOT hot keys of a table of ``rows`` rows."""
+    least = max(rows // HOT, HOT_ROWS)
+    if rows <= least:
         return []
-    least = max(1, rows // HOT)
-    return [r[0] for r in df.groupBy(key).count().where(F.col("count") > least).select(key).limit(HOT).collect()]
+    return [r[0] for r in df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > least).select(key).collect()]
 
 
-def _lookup(rows: DataFrame, table: DataFrame, key: str, spread: str, hot: list) -> DataFrame:
-    """Inner join with a table of one row for each key, hot keys spread over salts by a hash of ``spread``."""
+def _lookup(rows: DataFrame, table: DataFrame, key: str, spread: str, hot: list, how: str = "inner") -> DataFrame:
+    """Join with a table of one row for each key, hot keys spread over salts by a hash of ``spread``."""
     if not hot:
-        return rows.join(table, key)
-    is_hot = F.col(key).isin(hot)
+        return rows.join(table, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     left = rows.withColumn("_s", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
-    right = table.withColumn(
-        "_s",
-        F.explode(
-            F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        ),
-    )
-    return left.join(right, [key, "_s"]).drop("_s")
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(table.withColumn("_s", F.explode(salts)), [key, "_s"], how).drop("_s")
 
 
 def connected_components(pairs: DataFrame, scratch: Scratch, src: str = "a", dst: str = "b") -> DataFrame:

@@ -6,7 +6,7 @@ import heapq
 from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.text import label_of
@@ -14,17 +14,20 @@ from readloom.llm import tokens
 from readloom.llm.components import _hot, _lookup
 from readloom.session import Scratch, spread
 
-#: Hash buckets in which a seeded selection finds its cut.
+#: Hash buckets in which a seeded selection finds its cut, at each of two levels.
 BUCKETS = 4096
 #: The target list is a small table by its nature; it is refused beyond this many sources.
 MAX_SOURCES = 10_000
+#: A set of sources that share texts is a pattern of its own if those texts hold 1/PATTERNS of the tokens, so at most PATTERNS
+#: sets are; the documents of rarer sets count for their own source alone.
+PATTERNS = 10_000
 
 
-def _measure(path: str):
+def _measure(vocabulary):
     def run(batches):
         for b in batches:
             texts = b.column("text")
-            counts = [tokens.count(t.as_py(), path) if t.is_valid else 0 for t in texts]
+            counts = [tokens.count(t.as_py(), vocabulary.value) if t.is_valid else 0 for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("source"), b.column("text_key"), pa.array(counts, pa.int64())],
                 names=["doc_id", "source", "text_key", "tokens"],
@@ -39,7 +42,8 @@ def measured_documents(docs: DataFrame, targets: DataFrame, path: str = tokens.V
     docs = spread(docs.select("doc_id", "source", "text"))
     rows = docs.select("doc_id", label_of("source").alias("source"), F.unhex(F.md5("text")).alias("text_key"), "text")
     rows = rows.join(F.broadcast(listed), "source", "left_semi").select("doc_id", "source", "text_key", "text")
-    return rows.mapInArrow(_measure(path), "doc_id long, source string, text_key binary, tokens long")
+    vocabulary = docs.sparkSession.sparkContext.broadcast(tokens.read_vocabulary(path))
+    return rows.mapInArrow(_measure(vocabulary), "doc_id long, source string, text_key binary, tokens long")
 
 
 class Flow:
@@ -142,21 +146,22 @@ class Mixture:
         if len(listed) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} target sources")
         sized = self.scratch.put(measured_documents(docs, self.targets, path))
-        n = sized.count()
+        n, total = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
         # at most as many members as sources are listed, so the sets are bounded
-        patterns = sized.groupBy("text_key").agg(F.array_join(F.sort_array(F.collect_set("source")), "|").alias("pattern"))
-        by_null = sized.where("text_key is null").withColumn("pattern", F.col("source"))
-        keyed = _lookup(sized.where("text_key is not null"), patterns.where("text_key is not null"), "text_key", "doc_id", _hot(sized, "text_key", n))
+        sets = sized.where("text_key is not null").groupBy("text_key").agg(F.sort_array(F.collect_set("source")).alias("s"))
+        sets = sets.where(F.size("s") > 1).select("text_key", F.array_join("s", "|").alias("set"))
+        shared = self.scratch.put(_lookup(sized, sets, "text_key", "doc_id", _hot(sized, "text_key", n), "left"))
+        kept = shared.where("set is not null").groupBy("set").agg(F.sum("tokens").alias("t")).where(F.col("t") * PATTERNS >= F.lit(total))
+        shared = shared.join(F.broadcast(kept.select("set", F.col("set").alias("pattern"))), "set", "left")
         order = F.xxhash64(F.lit(seed), "doc_id")
         self.keyed = self.scratch.put(
-            keyed.unionByName(by_null).select(
-                "doc_id", "source", "pattern", "tokens", order.alias("ord"), F.pmod(F.shiftright(order, 20), F.lit(BUCKETS)).alias("bucket")
-            )
+            shared.select("doc_id", "source", F.coalesce("pattern", "source").alias("pattern"), "tokens", order.alias("ord"))
         )
         supply = [tuple(r) for r in self.keyed.groupBy("pattern", "source").agg(F.sum("tokens")).collect()]
         self.routed, self.quota = plan_flow(supply, listed, balanced)
         self.supply = {(p, s): t for p, s, t in supply}
-        self.listed = listed
+        self.repeats = {s: r for s, _, r in listed}
+        self.total = total
 
     def unreachable(self) -> DataFrame:
         """The sources whose quota the flow cannot fill."""
@@ -166,53 +171,76 @@ class Mixture:
         short = [(s,) for s, q in sorted(self.quota.items()) if got[s] < q - 1e-3]
         return self.keyed.sparkSession.createDataFrame(short, "source string")
 
+    def _cut(self, docs: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+        """Documents by a bucket of their hash, and the bucket of each pattern and source in which ``rest`` is reached."""
+        bucket = F.shiftrightunsigned("ord", 52 - 12 * level).bitwiseAND(F.lit(BUCKETS - 1))
+        docs = docs.withColumn("bucket", bucket)
+        sums = docs.where("rest > 0").groupBy("pattern", "source", "rest", "bucket").agg(F.sum("tokens").alias("t"))
+        run = Window.partitionBy("pattern", "source").orderBy("bucket")  # at most BUCKETS rows
+        over = sums.withColumn("upto", F.sum("t").over(run)).where(F.col("upto") > F.col("rest"))
+        cut = over.groupBy("pattern", "source").agg(F.min(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("t")).alias("room"))).alias("c"))
+        return docs, cut.select("pattern", "source", F.col("c.bucket").alias("cut"), F.col("c.room").alias("room"))
+
     def documents(self) -> DataFrame:
+        """(doc_id, source, tokens, repeats) of the documents drawn.
+
+        All of a source's documents of a pattern are used ``full`` times, and in the order of a seeded hash so many
+        once more as fit into the ``rest``. What is left of the rests of a source's patterns goes to those
+        documents next in order that fit in, so a source misses its quota by less than one document.
+        """
         spark = self.keyed.sparkSession
         rows = []
         for (p, s), f in sorted(self.routed.items()):
-            t = self.supply[p, s]
-            full = min(int(f / t + 1e-9), dict((a, c) for a, _, c in self.listed)[s]) if t else 0
-            rows.append((p, s, full, max(0.0, f - full * t)))
-        wanted = F.broadcast(spark.createDataFrame(rows, "pattern string, source string, full int, rest double"))
-        # running tokens by bucket: at most BUCKETS rows for each pattern and source
-        sums = self.keyed.groupBy("pattern", "source", "bucket").agg(F.sum("tokens").alias("t"))
-        from pyspark.sql import Window
-
-        run = Window.partitionBy("pattern", "source").orderBy("bucket")
-        before = sums.withColumn("upto", F.sum("t").over(run)).join(wanted, ["pattern", "source"])
-        cut = (
-            before.where(F.col("upto") > F.col("rest"))
-            .groupBy("pattern", "source")
-            .agg(F.min(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("t")).alias("room"))).alias("c"))
-            .select("pattern", "source", F.col("c.bucket").alias("cut"), F.col("c.room").alias("room"))
-        )
-        docs = self.keyed.join(wanted, ["pattern", "source"]).join(F.broadcast(cut), ["pattern", "source"], "left")
-        whole = docs.where(F.col("cut").isNull() | (F.col("bucket") != F.col("cut"))).withColumn(
-            "extra", F.when((F.col("rest") > 0) & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut"))), 1).otherwise(0)
-        )
-        inside = Window.partitionBy("pattern", "source", "bucket").orderBy("ord", "doc_id")
-        part = (
-            docs.where(F.col("bucket") == F.col("cut"))
-            .withColumn("upto", F.sum("tokens").over(inside))
-            .withColumn("extra", F.when(F.col("upto") <= F.col("room"), 1).otherwise(0))
-        )
-        cols = ["doc_id", "source", "tokens", (F.col("full") + F.col("extra")).alias("repeats")]
-        return whole.select(*cols).unionByName(part.select(*cols)).where("repeats > 0")
+            t, most = self.supply[p, s], self.repeats[s]
+            full = min(int(f / t + 1e-9), most) if t else 0
+            rows.append((p, s, full, max(0.0, f - full * t) if full < most else 0.0))
+        schema = "pattern string, source string, full int, rest double"
+        docs = self.keyed.join(F.broadcast(spark.createDataFrame(rows, schema)), ["pattern", "source"])
+        done = []
+        for level in (0, 1):
+            docs, cut = self._cut(docs, level)
+            docs = docs.join(F.broadcast(cut), ["pattern", "source"], "left")
+            inside = F.coalesce(F.col("bucket") == F.col("cut"), F.lit(False))
+            below = F.coalesce(F.col("bucket") < F.col("cut"), F.lit(True)) & (F.col("rest") > 0)
+            done.append(docs.where(~inside).select("doc_id", "source", "tokens", (F.col("full") + below.cast("int")).alias("repeats")))
+            docs = docs.where(inside).select("doc_id", "source", "pattern", "tokens", "ord", "full", F.col("room").alias("rest"))
+        # 1/BUCKETS^2 of a pattern's documents
+        order = Window.partitionBy("pattern", "source").orderBy("ord", "doc_id")
+        last = self.scratch.put(docs.withColumn("upto", F.sum("tokens").over(order)))
+        first_out = (F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("tokens") <= F.col("rest"))
+        left = last.where(first_out).select("pattern", "source", "tokens", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("left")).collect()
+        room = defaultdict(float)
+        for r in left:
+            room[r["source"]] += r["left"]
+        more = [("", "")]
+        for r in sorted(left, key=lambda r: (-r["tokens"], r["pattern"])):
+            if r["tokens"] <= room[r["source"]]:
+                room[r["source"]] -= r["tokens"]
+                more.append((r["pattern"], r["source"]))
+        more = spark.createDataFrame(more, "pattern string, source string").withColumn("more", F.lit(True))
+        last = last.join(F.broadcast(more), ["pattern", "source"], "left")
+        extra = (F.col("upto") <= F.col("rest")) | (first_out & F.col("more").isNotNull())
+        done.append(last.select("doc_id", "source", "tokens", (F.col("full") + extra.cast("int")).alias("repeats")))
+        return done[0].unionByName(done[1]).unionByName(done[2]).where("repeats > 0")
 
     def shares(self) -> DataFrame:
-        """Of each listed source: tokens there are, quota, tokens drawn, its actual share and whether the quota can be met."""
+        """Of each listed source: its tokens, those wanted and drawn, its actual share and the largest number of repeats.
+
+        ``reachable`` says whether the source can reach its share of the whole supply (as ``unreachable``), ``missed`` how many
+        tokens the drawn ones are short of the wanted ones, and ``longest`` how many the longest document of the source has.
+        """
         spark = self.keyed.sparkSession
-        have = self.keyed.groupBy("source").agg(F.sum("tokens").alias("tokens_available"))
+        have = self.keyed.groupBy("source").agg(F.sum("tokens").alias("tokens_available"), F.max("tokens").alias("longest"))
         drawn = self.documents().groupBy("source").agg(
             F.sum(F.col("tokens") * F.col("repeats")).alias("tokens_drawn"), F.max("repeats").alias("most_repeats")
         )
-        quota = spark.createDataFrame(sorted(self.quota.items()), "source string, quota double")
-        from pyspark.sql import Window
-
+        quota = spark.createDataFrame(sorted(self.quota.items()), "source string, tokens_wanted double")
         out = self.targets.join(quota, "source").join(have, "source", "left").join(drawn, "source", "left")
+        out = out.fillna(0, ["tokens_available", "longest", "tokens_drawn", "most_repeats"])
         total = F.sum("tokens_drawn").over(Window.partitionBy(F.lit(1)))  # one row a source
         return out.select(
-            "source", "target_share", "max_repeats", "tokens_available", F.coalesce("tokens_drawn", F.lit(0)).alias("tokens_drawn"),
-            (F.coalesce("tokens_drawn", F.lit(0)) / total).alias("actual_share"), "most_repeats",
-            (F.coalesce("tokens_available", F.lit(0)) * F.col("max_repeats") >= F.col("quota")).alias("reachable"),
+            "source", "target_share", "max_repeats", "tokens_available", "tokens_wanted", "tokens_drawn",
+            (F.col("tokens_drawn") / total).alias("actual_share"), "most_repeats", "longest",
+            (F.col("tokens_wanted") - F.col("tokens_drawn")).alias("missed"),
+            (F.col("tokens_available") * F.col("max_repeats") >= F.col("target_share") * self.total).alias("reachable"),
         )

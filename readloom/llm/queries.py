@@ -138,6 +138,20 @@ def p8_shares(spark, sf):
     return _mixture(spark, sf).shares()
 
 
+# what a mixture must hold, whatever the tokenizer: caps are kept, and no source misses its quota by a whole document
+@query(
+    "p8_checks",
+    f"""WITH d AS (SELECT {label_sql('source')} AS source, sum(strlen(text)) AS n FROM documents GROUP BY 1),
+    t AS (SELECT {label_sql('source')} AS source, target_share, max_repeats FROM source_targets)
+    SELECT source, target_share, max_repeats, true AS within_repeats, true AS within_a_document, coalesce(n, 0) * max_repeats >=
+    target_share * (SELECT sum(n) FROM d JOIN t USING (source)) AS reachable FROM t LEFT JOIN d USING (source)""",
+)
+def p8_checks(spark, sf):
+    return _mixture(spark, sf).shares().selectExpr(
+        "source", "target_share", "max_repeats", "most_repeats <= max_repeats as within_repeats", "abs(missed) <= longest as within_a_document", "reachable"
+    )
+
+
 _SPOKEN = r"""regexp_replace(regexp_replace(regexp_replace(text, '(?m)^(?:[0-9]+\r?\n)?[^\n]*-->[^\n]*(?:\n|\z)', '', 'g'),
     '<[^>]*>', ' ', 'g'), '\{[^}]*\}', ' ', 'g')"""
 _PASSAGES = r"""SELECT DISTINCT id, array_to_string(w[i:i+7], ' ') AS passage FROM (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM

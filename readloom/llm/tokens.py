@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -10,19 +11,34 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def read_vocabulary(path: str = VOCABULARY) -> bytes:
+    """The file's bytes, read where the query is planned; executors get them, not the path."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str = VOCABULARY):
+def encoder(vocabulary: bytes | None = None):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+    lines = (vocabulary or read_vocabulary()).splitlines()
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
     return tiktoken.Encoding("readloom", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count(text: str, path: str = VOCABULARY) -> int:
-    # a text of one endless word would take the merge loop quadratic time, so such runs are cut;
-    # a cut changes the count by at most one token per 20,000 characters
-    e = encoder(path)
-    if len(text) <= 20_000:
-        return len(e.encode_ordinary(text))
-    return sum(len(e.encode_ordinary(text[i : i + 20_000])) for i in range(0, len(text), 20_000))
+# a run of white space this long is cut out, since the pattern's look-ahead would exhaust the stack on longer ones
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
+def count(text: str, vocabulary: bytes | None = None) -> int:
+    """Tokens of a whole text, of any length.
+
+    Where a long run of white space is cut out the pattern cuts too: after the character before it and before
+    its last character, or its end at the end of the text.
+    """
+    e, n, at = encoder(vocabulary), 0, 0
+    for m in _SPACES.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        n += len(e.encode_ordinary(text[at : m.start()])) + len(e._encode_single_piece(text[m.start() : end]))
+        at = end
+    return n + len(e.encode_ordinary(text[at:]))

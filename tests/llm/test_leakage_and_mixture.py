@@ -127,6 +127,32 @@ def test_mixture_holds_its_shares(spark):
     again = Mixture(df.repartition(7), t, balanced=True).documents().collect()
     assert sorted(map(tuple, drawn)) == sorted(map(tuple, again))
     assert m.unreachable().collect() == []
+    longest = {s: max(tokens.count(d[2] or "") for d in docs if d[1] and d[1].strip().lower() == s) for s in "abc"}
+    assert all(-1 <= shares[s]["missed"] < longest[s] == shares[s]["longest"] for s in "abc")
+
+
+def test_small_sources_are_repeated(spark):
+    rng = random.Random(4)
+    docs = [(i, "big", " ".join(rng.choice(["alpha", "beta"]) for _ in range(rng.randint(5, 60))), "x", 1) for i in range(300)]
+    docs += [(1000 + i, "small", docs[i][2] if i % 2 else f"gamma {i} delta", "x", 1) for i in range(40)]
+    df = spark.createDataFrame(docs, MIX)
+    have = {s: sum(tokens.count(d[2]) for d in docs if d[1] == s) for s in ("big", "small")}
+    share = 2.5 * have["small"] / sum(have.values())
+    t = spark.createDataFrame([("big", 1 - share, 1), ("small", share, 4)], TARGETS)
+    for balanced in (False, True):
+        got = {r["source"]: r for r in Mixture(df, t, balanced=balanced).shares().collect()}
+        assert got["small"]["most_repeats"] == 3 and got["big"]["most_repeats"] == 1 and got["small"]["reachable"]
+        assert all(-1 <= r["missed"] < r["longest"] for r in got.values())
+    few = {r["source"]: r for r in Mixture(df, spark.createDataFrame([("big", 0.2, 1), ("small", 0.8, 2)], TARGETS)).shares().collect()}
+    assert not few["small"]["reachable"] and few["small"]["tokens_drawn"] == 2 * have["small"] and few["small"]["most_repeats"] == 2
+
+
+def test_tokens_of_long_texts():
+    rng, e = random.Random(1), tokens.encoder()
+    for _ in range(20):
+        t = "".join(rng.choice(["ab", " ", "\n", "\u3000", " 12", "'s", "!?", "\xa0", "\x1c", "é"]) * rng.choice([1, 1, 2, 12_000]) for _ in range(12))
+        assert tokens.count(t) == len(e.encode_ordinary(t))
+    assert tokens.count(" " * 2_000_000 + "a") > 0 and tokens.count("a" * 1_000_000) > 0
 
 
 def test_unreachable_sources(spark):
