@@ -85,20 +85,21 @@ def test_components(spark, kind):
     }[kind]
     pairs += [(3, 3), (None, 4), (5, None), pairs[0], pairs[0][::-1]]
     df = spark.createDataFrame(pairs, "a long, b long")
-    got = {r["id"]: r["component"] for r in connected_components(df, Scratch(spark)).collect()}
-    assert got == plain_components(pairs)
+    for last in (0, 20, 50_000):  # all rounds over the cluster, the last ones in one task, all in one task
+        got = {r["id"]: r["component"] for r in connected_components(df, Scratch(spark), last=last).collect()}
+        assert got == plain_components(pairs)
 
 
 def test_components_with_hot_labels(spark):
     pairs = [(0, i) for i in range(1, 60_001)] + [(i, 100_000 + i) for i in range(1, 60_001)]
     df = spark.createDataFrame(pairs, "a long, b long")
-    got = connected_components(df, Scratch(spark))
+    got = connected_components(df, Scratch(spark), last=0)
     assert got.where("component = 0").count() == got.count() == 120_001
 
 
 def test_components_of_nothing(spark):
     df = spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")
-    assert connected_components(df, Scratch(spark)).collect() == []
+    assert connected_components(df, Scratch(spark)).collect() == [] == connected_components(df, Scratch(spark), last=0).collect()
 
 
 def test_linked_entries(spark):
