@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
 import uuid
+from bisect import bisect_left
 from collections import defaultdict
 from functools import lru_cache
 
@@ -31,9 +33,6 @@ EVIDENCE = 4.0
 EVIDENCE_OTHER = 6.0
 #: What each byte that continues a UTF-8 sequence speaks for a text of known words.
 SEQUENCE = 2.0
-BEAM = 12
-#: Longer tokens are searched span by span.
-SPAN = 64
 
 # Code pages in which UTF-8 is commonly misread, and (written in, read as) pairs of other code
 # pages. In cp1252 and its kin a byte without a character is read as the control character of that number or lost.
@@ -74,8 +73,8 @@ CHANNELS = (
 
 _UNIT = regex.compile(r"\p{L}+|[^\x00-\x7f\p{L}]")
 _SPACE = re.compile("([ \t\r\n]+)")
+_LETTER = regex.compile(r"\p{L}")
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
-_NON_ASCII = re.compile("[^\x00-\x7f]{1,%d}" % SPAN)
 _RUN = regex.compile(rf"[\p{{L}}{LOST}]+")
 
 
@@ -86,7 +85,10 @@ def vocabulary(docs: DataFrame, text: str = "text") -> dict[str, float]:
     counted, words of rare tokens included.
     """
     tokens = (
-        docs.select(F.explode(F.split(text, "[ \t\r\n]+")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+        docs.select(F.explode(F.split(text, "[ \t\r\n]+")).alias("t"))
+        .where(F.col("t").rlike(r"[a-zA-Z\x{80}-\x{10FFFF}]"))  # cue numbers and times are no words
+        .groupBy("t")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     words = (
         tokens.select("n", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+|[^\x00-\x7f\p{L}]"), F.lit(0))).alias("w"))
@@ -158,6 +160,9 @@ class Decoder:
     def __init__(self, words: dict[str, float]):
         self.words = words
         self.candidates = lru_cache(maxsize=50_000)(self._candidates)
+        self.lossy = lru_cache(maxsize=50_000)(self._lossy)
+        self.live = lru_cache(maxsize=200_000)(self._live)
+        self.sorted = sorted(w.replace("ς", "σ") for w in words)
         self.evidence = lru_cache(maxsize=200_000)(self._evidence)
         self.shapes = defaultdict(list)
         for w, p in words.items():
@@ -170,45 +175,66 @@ class Decoder:
         get = self.words.get
         return sum(get(u, UNKNOWN) for u in units(s))
 
-    def undo(self, s: str, step: tuple[str, str], lossy: bool = False) -> str | None:
+    def undo(self, s: str, step: tuple[str, str]) -> str | None:
         """One misreading undone: the text written in step[0] that reads as ``s`` under step[1]."""
         written, read = step
-        if not lossy:
-            return self.decoded(s, written, read) if read in feasible_pages(s) else None
-        table = _to_bytes(read)
-        if written != "utf_8":
-            return "".join(bytes([table[c]]).decode(written, "ignore") or c if c in table else c for c in s)
-        if len(s) <= SPAN:
-            return self.lattice(s, table, _holes(read))
-        # of an endless token each damaged span is searched on its own
-        return _NON_ASCII.sub(lambda m: self.lattice(m.group(), table, _holes(read)), s)
+        return self.decoded(s, written, read) if read in feasible_pages(s) else None
+
+    def _lossy(self, s: str, channel: tuple[tuple[str, str], ...]) -> str:
+        """A channel undone as far as the bytes that are left allow."""
+        for written, read in channel:
+            table = _to_bytes(read)
+            if written != "utf_8":
+                s = "".join(bytes([table[c]]).decode(written, "ignore") or c if c in table else c for c in s)
+            else:
+                s = self.lattice(s, table, _holes(read))
+        return s
 
     @staticmethod
     def decoded(s: str, written: str, read: str) -> str | None:
         """``undo`` of a text whose characters the page has."""
         try:
-            return s.translate(_byte_table(read)).encode("latin_1").decode(written)
+            return codecs.charmap_encode(s, "strict", _byte_table(read))[0].decode(written)
         except UnicodeDecodeError:
             return None
 
+    def _live(self, start: str) -> bool:
+        """Whether a known word begins so."""
+        start = start.lower().replace("ς", "σ")
+        at = bisect_left(self.sorted, start)
+        return at < len(self.sorted) and self.sorted[at].startswith(start)
+
+    def _extend(self, paths: dict, key: str | None, score: float, trail, text: str) -> None:
+        """A path's word so far (None once no known word begins so) goes on by ``text``; of two paths with the
+        same word so far only the better one can win."""
+        for c in text:
+            if _LETTER.match(c):
+                key = key + c if key is not None and self.live(key + c) else None
+            else:
+                score += self._closed(key)
+                if c > "\x7f":
+                    score += self.words.get(c.lower(), UNKNOWN)
+                key = ""
+        if key not in paths or paths[key][0] < score:
+            paths[key] = (score, (trail, text))
+
+    def _closed(self, key: str | None) -> float:
+        return UNKNOWN if key is None else self.words.get(key.lower(), UNKNOWN) if key else 0.0
+
     def lattice(self, s: str, table: dict[str, int], holes: tuple[int, ...]) -> str:
-        """Viterbi search (a beam of BEAM) through the byte lattice of ``s``.
+        """Viterbi search through the byte lattice of ``s``; exact, and linear in the length.
 
         From each character the paths go on by a whole UTF-8 sequence, by one with a wildcard for a lost
         byte, or by the character as it stands; paths are ranked by the words they spell.
         """
-        paths: list[list[tuple[float, str]]] = [[] for _ in range(len(s) + 1)]
-        paths[0] = [(0.0, "")]
+        paths: list[dict] = [{} for _ in range(len(s) + 1)]
+        paths[0][""] = (0.0, None)
         for i, c in enumerate(s):
-            here = paths[i]
-            if len(here) > BEAM:
-                here = sorted(here, key=lambda x: -(x[0] + self.score(x[1])))[:BEAM]
+            here, paths[i] = paths[i], {}
             b = table.get(c, -1)
             need = 1 if 0xC2 <= b < 0xE0 else 2 if 0xE0 <= b < 0xF0 else 3 if 0xF0 <= b < 0xF5 else 0
-            for p, text in here:
-                paths[i + 1].append((p if b < 0x80 else p + UNKNOWN / 2, text + c))
-                if not need:
-                    continue
+            ways = [(1, c, 0.0 if b < 0x80 else UNKNOWN / 2)]
+            if need:
                 tail = [table.get(x, -1) for x in s[i + 1 : i + 1 + need]]
                 good = 0
                 while good < len(tail) and 0x80 <= tail[good] < 0xC0:
@@ -223,11 +249,18 @@ class Decoder:
                                 fills.append(([*tail[:at], h, *tail[at:good]], good, WILDCARD))
                 for rest, used, cost in fills:
                     try:
-                        ch = bytes([b, *rest]).decode("utf_8")
+                        ways.append((1 + used, bytes([b, *rest]).decode("utf_8"), cost))
                     except UnicodeDecodeError:
                         continue
-                    paths[i + 1 + used].append((p + cost, text + ch))
-        return max(paths[-1], key=lambda x: x[0] + self.score(x[1]))[1]
+            for key, (score, trail) in here.items():
+                for used, text, cost in ways:
+                    self._extend(paths[i + used], key, score + cost, trail, text)
+        trail = max(((score + self._closed(key), n, trail) for n, (key, (score, trail)) in enumerate(paths[-1].items())), key=lambda x: x[:2])[2]
+        out = []
+        while trail is not None:
+            trail, text = trail
+            out.append(text)
+        return "".join(reversed(out))
 
     def undone(self, token: str):
         """(channel, text) of every exact way to undo a channel."""
@@ -255,8 +288,8 @@ class Decoder:
                 out[k] = (v, s)
         return base, out
 
-    def _evidence(self, token: str) -> tuple[tuple[int, float], ...]:
-        """What a token says for each channel: the gain of undoing it, if that brings a known word in.
+    def _evidence(self, token: str) -> tuple[tuple[int, float, str], ...]:
+        """What a token says for each channel: the gain of undoing it, if that brings a known word in, and the text.
 
         A single letter counts for little, since scanned texts hold many stray ones.
         """
@@ -264,7 +297,7 @@ class Decoder:
         for k, v in self.undone(token):
             utf8 = CHANNELS[k][0][0] == "utf_8"
             if utf8 and "\ufeff" in v:
-                out.append((k, 10.0))
+                out.append((k, 10.0, v))
                 continue
             known = [u for u in units(v) if u in self.words and u not in seen]
             if not known or not (utf8 or any(len(u) >= 3 and not u.isascii() for u in known)):
@@ -276,7 +309,7 @@ class Decoder:
                 continue
             if utf8 and not any(len(u) > 1 or not u.isalpha() for u in known):
                 gain = min(gain, EVIDENCE / 2)
-            out.append((k, gain))
+            out.append((k, gain, v))
         return tuple(out)
 
     def misread_utf8(self, s: str) -> bool:
@@ -284,18 +317,31 @@ class Decoder:
         return any((v := self.undo(s, ("utf_8", w))) is not None and v != s for w in READ_UTF8_AS)
 
     def damage(self, tokens: list[str]) -> tuple[bool, list[int]]:
-        """Whether any of the words is misread, and the channels that account for it."""
+        """Whether any of the words, none of ASCII only, is misread, and the channels that account for it.
+
+        A channel that reads all its words as one with more evidence does is left out.
+        """
         total: dict[int, float] = defaultdict(float)
+        read: dict[int, dict[str, str]] = defaultdict(dict)
         certain = False
         for t in tokens:
-            if t.isascii():
-                continue
-            if LOST in t or _C1.search(t):
+            said = self.evidence(t)
+            if LOST in t:
+                certain = True
+            elif _C1.search(t):
+                # whatever turns all control characters into known signs may account for them
                 certain = True
-            for k, e in self.evidence(t):
+                base = self.score(t)
+                said += tuple((k, EVIDENCE_OTHER, v) for k, v in self.undone(t) if not _C1.search(v) and self.score(v) > base)
+            for k, e, v in said:
                 total[k] += e
-        enough = {k: e for k, e in total.items() if e >= (EVIDENCE if CHANNELS[k][0][0] == "utf_8" else EVIDENCE_OTHER)}
-        return bool(certain or enough), sorted(enough, key=lambda k: -enough[k])[:4]
+                read[k][t] = v
+        enough = [k for k, e in total.items() if e >= (EVIDENCE if CHANNELS[k][0][0] == "utf_8" else EVIDENCE_OTHER)]
+        kept: list[int] = []
+        for k in sorted(enough, key=lambda k: (-total[k], k)):
+            if not any(read[k].items() <= read[j].items() for j in kept):
+                kept.append(k)
+        return certain or bool(kept), kept
 
     def fill(self, token: str) -> str:
         """A token with lost bytes, each read as one lost character: the most frequent word of this shape."""
@@ -353,9 +399,7 @@ class Decoder:
                 elif s in found:
                     text, p = found[s]
                 else:
-                    text = t
-                    for one in CHANNELS[s]:
-                        text = self.undo(text, one, lossy=True)
+                    text = self.lossy(t, CHANNELS[s])
                     p = self.score(text) + (WILDCARD if text != t else 0)
                 stay, move = best[s][0], best[top][0] + SWITCH
                 step[s] = (max(stay, move) + p, s if stay >= move else top, text)
@@ -399,9 +443,10 @@ def _repair(words: dict[str, float]):
         for b in batches:
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                pieces = _SPACE.split(text)
-                damaged, channels = decoder.damage(list(dict.fromkeys(pieces[::2])))
+                words_of = dict.fromkeys(text.replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" "))
+                damaged, channels = decoder.damage([t for t in words_of if not t.isascii()])
                 if damaged:
+                    pieces = _SPACE.split(text)
                     fixed, names, changed = decoder.restore(pieces, channels)
                     if not changed and LOST not in text and not _C1.search(text):
                         continue  # the words taken together speak against every channel
