@@ -114,6 +114,20 @@ def hamming(a: Column, b: Column) -> Column:
     return F.when(F.length(a) == F.length(b), F.aggregate(differ, F.lit(0), lambda s, x: s + x))
 
 
+def packed(barcode: Column) -> Column:
+    """A barcode of at most 64 bases A, C, G, T as three numbers of two bits a base."""
+    digits = F.translate(barcode, "ACGT", "0123")
+    part = lambda k: F.coalesce(F.conv(F.substring(digits, 31 * k + 1, 31), 4, 10).cast("bigint"), F.lit(0).cast("bigint"))
+    return F.struct(*[part(k).alias(f"w{k}") for k in range(3)])
+
+
+def packed_hamming(a: Column, b: Column) -> Column:
+    """Substitutions between two packed barcodes of one length."""
+    low = F.lit(0x1555555555555555)  # the lower bit of each base
+    differ = lambda x: F.bit_count((x.bitwiseOR(F.shiftright(x, 1))).bitwiseAND(low))
+    return sum((differ(a[f"w{k}"].bitwiseXOR(b[f"w{k}"])) for k in (1, 2)), differ(a["w0"].bitwiseXOR(b["w0"])))
+
+
 def without(text: Column, count: int) -> Column:
     """Distinct texts left after deleting ``count`` characters in all ways; empty if the text is too short."""
     out = F.array(text)

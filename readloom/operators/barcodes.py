@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.config import Settings
-from readloom.functions.dna import barcode_of, hamming, unknown_bases, without
+from readloom.functions.dna import barcode_of, packed, packed_hamming, unknown_bases, without
+from readloom.operators.salted import hot_keys, salted_lookup
 
 
 def extracted(reads: DataFrame, how: Settings) -> DataFrame:
@@ -31,19 +34,22 @@ def barcode_counts(found: DataFrame) -> DataFrame:
 def substitution_pairs(counts: DataFrame, most: int) -> DataFrame:
     """(a, b) of barcodes of one length with 1 to ``most`` substitutions, each pair both ways.
 
-    Cut into most+1 pieces, two such barcodes agree in one piece at least, so candidates come from an
-    equi-join on (length, piece number, piece), and each is verified.
+    Cut into 3 pieces for each substitution, two such barcodes agree in two thirds of the pieces at least, so
+    candidates come from an equi-join on every choice of so many pieces (3 choices for one substitution, 15 for two).
+    These hold two thirds of the bases, so few barcodes meet by chance however large the table.
     """
     most = min(most, 2)
     if most < 1:
         return counts.select(F.col("barcode").alias("a"), F.col("barcode").alias("b")).limit(0)
-    n, parts = F.length("barcode"), most + 1
+    n, parts = F.length("barcode"), 3 * most
     cut = lambda k: F.floor(n * k / parts).cast("int")
-    pieces = F.array(*[F.struct(F.lit(k).alias("k"), F.substring("barcode", cut(k) + 1, cut(k + 1) - cut(k)).alias("piece")) for k in range(parts)])
-    keyed = counts.select("barcode", n.alias("len"), F.explode(pieces).alias("p")).select("barcode", "len", "p.k", "p.piece")
-    other = keyed.withColumnRenamed("barcode", "b")
-    near = keyed.withColumnRenamed("barcode", "a").join(other, ["len", "k", "piece"]).where("a <> b")
-    return near.where(hamming(F.col("a"), F.col("b")) <= most).select("a", "b").distinct()
+    piece = [F.substring("barcode", cut(k) + 1, cut(k + 1) - cut(k)) for k in range(parts)]
+    signs = F.array(*[F.xxhash64(n, F.lit(i), *(piece[k] for k in kept)) for i, kept in enumerate(combinations(range(parts), 2 * most))])
+    keyed = counts.select("barcode", n.alias("len"), packed(F.col("barcode")).alias("bits"), F.explode(signs).alias("sign"))
+    one, two = (keyed.select("sign", "len", F.col("barcode").alias(c), F.col("bits").alias(f"p{c}")) for c in "ab")
+    near = one.join(two, ["sign", "len"]).where((F.col("a") < F.col("b")) & (packed_hamming(F.col("pa"), F.col("pb")) <= most))
+    near = near.select("a", "b").distinct()
+    return near.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
 
 
 def indel_pairs(counts: DataFrame, most: int, fixed: bool) -> DataFrame:
@@ -108,7 +114,12 @@ def resolve_unknown(found: DataFrame, counts: DataFrame, assignments: DataFrame)
 
 
 def assigned(found: DataFrame, counts: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Reads with their ``bcid``; null for failed reads and for N barcodes that match nothing."""
+    """Reads with their ``bcid``; null for failed reads and for N barcodes that match nothing.
+
+    Reads of a barcode that owns a large share of them are spread over salts in the join.
+    """
     known = assignments.select("barcode", "bcid").unionByName(resolve_unknown(found, counts, assignments))
     usable = F.when(F.col("status") != "failed", F.col("barcode"))
-    return found.withColumn("_key", usable).join(known.withColumnRenamed("barcode", "_key"), "_key", "left").drop("_key")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    keyed = found.withColumn("_key", usable)
+    return salted_lookup(keyed, known.withColumnRenamed("barcode", "_key"), "_key", "read_idx", hot_keys(counts, "barcode", total, "n"), "left").drop("_key")

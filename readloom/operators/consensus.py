@@ -93,10 +93,11 @@ def error_rates(made: DataFrame) -> DataFrame:
 
 def fastq_lines(rec: DataFrame) -> DataFrame:
     """The four lines of each record that has its barcode, as one text column ``value``."""
-    head = F.format_string(
-        "@bc=%s;bcid=%d;count=%d;min_q=%d;mean_q=%d;minor_frac_mean=%.3f;minor_frac_max=%.3f",
-        "bc", "bcid", "count", "min_q", "mean_q", "minor_frac_mean", "minor_frac_max",
-    )
+    # three decimals of the exact binary value, ties to even, as C prints them; format_string would round half up
+    # (and the JDK rounds 0.0005, which lies just above the tie, down)
+    three = lambda c: F.when(F.col(c) == 0.0005, "0.001").otherwise(F.call_function("format_number", F.col(c), F.lit("0.000")))
+    mean, most = three("minor_frac_mean"), three("minor_frac_max")
+    head = F.format_string("@bc=%s;bcid=%d;count=%d;min_q=%d;mean_q=%d;minor_frac_mean=%s;minor_frac_max=%s", "bc", "bcid", "count", "min_q", "mean_q", mean, most)
     return rec.where("bc is not null").select(F.concat_ws("\n", head, "seq", F.lit("+"), "qual").alias("value"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,19 +12,41 @@ from readloom.operators import barcodes, cluster, consensus, evaluate
 from readloom.session import Scratch, spread
 
 
-@dataclass
 class Run:
-    """What a run made: every table is lazy over what was written to the shared folder."""
+    """What a run makes. Each table is made when it is first asked for; those that several others need are written to the
+    shared folder then: the counts, the assignments, the assigned reads and the consensus."""
 
-    found: DataFrame
-    counts: DataFrame
-    assignments: DataFrame
-    assigned: DataFrame
-    consensus: DataFrame
+    def __init__(self, reads: DataFrame, how: Settings):
+        self.how = how
+        self.scratch = Scratch(reads.sparkSession)
+        self.found = barcodes.extracted(spread(reads), how)
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return self.scratch.put(barcodes.barcode_counts(self.found))
+
+    @cached_property
+    def assignments(self) -> DataFrame:
+        if self.how.max_mismatches == 0 and self.how.extraction.max_indels <= 0:
+            own = cluster.numbered(self.counts).withColumn("centroid", F.col("barcode")).select("barcode", "centroid", "bcid")
+        else:
+            own = cluster.cluster(self.counts, self.how)
+        return self.scratch.put(own)
+
+    @cached_property
+    def assigned(self) -> DataFrame:
+        return self.scratch.put(barcodes.assigned(self.found, self.counts, self.assignments))
+
+    @cached_property
+    def consensus(self) -> DataFrame:
+        return self.scratch.put(consensus.records(consensus.consensus(self.assigned, self.how), self.how))
 
     def passed(self) -> DataFrame:
         return self.consensus.where("bc is not null")
 
+    def fastq_lines(self) -> DataFrame:
+        return consensus.fastq_lines(self.consensus)
+
     def failed_lines(self) -> DataFrame:
         return consensus.failed_lines(self.consensus, self.assigned)
 
@@ -34,19 +56,10 @@ class Run:
     def rates(self) -> DataFrame:
         return consensus.error_rates(self.consensus)
 
-    def diameters(self, how: Settings) -> DataFrame:
-        return cluster.diameters(self.counts, self.assignments, self.found.count(), how.max_mismatches)
+    def diameters(self, how: Settings | None = None) -> DataFrame:
+        return cluster.diameters(self.counts, self.assignments, self.found.count(), (how or self.how).max_mismatches)
 
 
 def run(reads: DataFrame, how: Settings) -> Run:
     """Extract, count, cluster, assign and collapse ``reads`` (the columns of a FASTQ scan)."""
-    scratch = Scratch(reads.sparkSession)
-    found = barcodes.extracted(spread(reads), how)
-    counts = scratch.put(barcodes.barcode_counts(found))
-    exact = how.max_mismatches == 0 and how.extraction.max_indels <= 0
-    assignments = scratch.put(
-        cluster.numbered(counts).withColumn("centroid", F.col("barcode")).select("barcode", "centroid", "bcid") if exact else cluster.cluster(counts, how)
-    )
-    assigned = barcodes.assigned(found, counts, assignments)
-    made = consensus.records(consensus.consensus(assigned, how), how)
-    return Run(found, counts, assignments, assigned, made)
+    return Run(reads, how)
