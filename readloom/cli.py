@@ -7,13 +7,11 @@ import sys
 import time
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from readloom.config import Context, Extraction, Settings
-from readloom.operators import consensus, evaluate
-from readloom.operators.split import split_by_barcodes
+from readloom.operators import evaluate
 from readloom.plans import pipeline
-from readloom.sources.fastq import read_fastq, split_name, write_fastq
+from readloom.sources.fastq import read_fastq, split_file, write_fastq
 
 
 def elapsed(seconds: float) -> str:
@@ -46,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
     _extraction_flags(run)
     ev = sub.add_parser("evaluate", help="compare clusters with the barcode= tags of simulated reads")
     ev.add_argument("--in", dest="inputs", required=True)
+    ev.add_argument("--report", help="folder for the report as a Parquet table")
     _extraction_flags(ev)
     split = sub.add_parser("split", help="cut a barcode-sorted file into pieces of so many barcodes")
     split.add_argument("--in1", required=True)
@@ -73,24 +72,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         r = pipeline.run(read_fastq(spark, a.inputs.split(","), a.max_len), how)
         r.stats().orderBy("file_idx").show(1000, False)
     if a.command == "run":
-        write_fastq(consensus.fastq_lines(r.consensus), a.out)
+        write_fastq(r.fastq_lines(), a.out)
         if a.fail:
             write_fastq(r.failed_lines(), a.fail)
         r.rates().show()
-        r.diameters(how).show(20, False)
+        r.diameters().show(20, False)
     elif a.command == "evaluate":
-        evaluate.size_histogram(evaluate.cluster_sizes(r.counts, r.assignments)).orderBy("n_barcodes").show()
-        pairs = evaluate.truth_pairs(r.assigned)
-        evaluate.split_histogram(pairs).orderBy("n_clusters").show()
-        evaluate.merge_histogram(pairs).orderBy("n_barcodes").show()
-        print("reads without a true barcode:", r.assigned.count() - pairs.count())
+        told = evaluate.report(r.counts, r.assignments, r.assigned)
+        if a.report:
+            told.coalesce(1).write.mode("overwrite").parquet(a.report)
+            told = spark.read.parquet(a.report)
+        told.orderBy("section", "bin", "measure").show(1000, False)
     elif a.command == "split":
-        pieces = split_by_barcodes(read_fastq(spark, [a.in1]), a.bc_start, a.bc_len, a.size)
-        # one file a piece, in the order of the reads
-        out = pieces.repartition("file_no").sortWithinPartitions("file_no", "read_idx")
-        lines_of_piece = F.concat_ws("\n", "header", "seq", "plus", "qual").alias("value")
-        out.select("file_no", lines_of_piece).write.mode("overwrite").partitionBy("file_no").text(a.out)
-        print("pieces are named like", split_name(a.in1, 1), "in their folders under", a.out)
+        pieces, skipped = split_file(read_fastq(spark, [a.in1]), a.in1, a.bc_start, a.bc_len, a.size, a.out)
+        print("\n".join(pieces))
+        if skipped:
+            print("warning: skipped", skipped, "reads too short for a barcode", file=sys.stderr)
     elif a.command == "compare":
         row = evaluate.same_records(read_fastq(spark, [a.first]), read_fastq(spark, [a.second])).first()
         print(row["same"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from readloom.config import Settings
 from readloom.functions.dna import hamming
 from readloom.operators.barcodes import neighbour_pairs
+from readloom.operators.evaluate import placed
 from readloom.session import Scratch
 
 
@@ -18,18 +19,8 @@ def numbered(centroids: DataFrame) -> DataFrame:
     the driver sees one count a partition. Where ranges are cut depends on a sample that differs from
     job to job, so the partitions are written before they are counted.
     """
-    ordered = centroids.repartitionByRange(F.desc("n"), "barcode").sortWithinPartitions(F.desc("n"), "barcode")
-    tagged = ordered.withColumn("_m", F.monotonically_increasing_id())
-    tagged = tagged.select("*", F.shiftright("_m", 33).alias("_part"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
-    tagged = Scratch(centroids.sparkSession).put(tagged.select("barcode", "_part", "_at"))
-    sizes = {r[0]: r[1] for r in tagged.groupBy("_part").count().collect()}
-    start, before = [], 0
-    for part in sorted(sizes):
-        start += [F.lit(part), F.lit(before)]
-        before += sizes[part]
-    if not start:
-        return centroids.select("barcode", F.lit(None).cast("bigint").alias("bcid")).limit(0)
-    return tagged.select("barcode", (F.create_map(*start)[F.col("_part")] + F.col("_at") + 1).cast("bigint").alias("bcid"))
+    ordered = centroids.select("barcode", "n").repartitionByRange(F.desc("n"), "barcode").sortWithinPartitions(F.desc("n"), "barcode")
+    return placed(ordered).select("barcode", F.col("place").alias("bcid"))
 
 
 def cluster(counts: DataFrame, how: Settings) -> DataFrame:
@@ -91,15 +82,14 @@ def cluster(counts: DataFrame, how: Settings) -> DataFrame:
     return own.join(ids, "centroid").select("barcode", "centroid", "bcid")
 
 
-def diameters(counts: DataFrame, assignments: DataFrame, total_reads: int, max_mismatches: int) -> DataFrame:
-    """The largest clusters (at most 20, from 0.1% of all reads or 100 reads) and how far their members are.
+def diameters(counts: DataFrame, assignments: DataFrame, least: int, max_mismatches: int) -> DataFrame:
+    """The largest clusters (at most 20, of ``least`` reads or more) and how far their members are.
 
     Of up to 10 members other than the centroid, in barcode order: the largest Hamming distance, and
     how many have another length. A cluster whose members reach the allowed distance is suspicious.
     """
     from pyspark.sql import Window
 
-    least = max(100, int(total_reads * 0.001))
     all_ = counts.join(assignments, "barcode")
     big = (
         all_.groupBy("bcid", "centroid").agg(F.sum("n").alias("n_reads")).where(F.col("n_reads") >= least)

@@ -116,3 +116,18 @@ def sorted_lines(reads: DataFrame) -> DataFrame:
     head = F.concat(text("header"), F.lit(";UBID="), F.col("bcid").cast("string"))
     ordered = reads.where("bcid is not null").orderBy("bcid", "file_idx", "read_idx")
     return ordered.select(F.concat_ws("\n", head, text("seq"), text("plus"), text("qual")).alias("value"))
+
+
+def paired_consensus(pairs: DataFrame, how: Settings) -> DataFrame:
+    """Consensus of both mates of each group of paired reads (bcid, seq, qual, seq2, qual2): the columns of SCHEMA for the
+    reads, and seq2 and qual2. The mates are collapsed on their own; a group whose mates are all empty has an empty seq2.
+    """
+    mates = pairs.select("bcid", "file_idx", "read_idx", F.col("seq2").alias("seq"), F.col("qual2").alias("qual"))
+    other = consensus(mates, how).select("bcid", F.col("seq").alias("seq2"), F.col("qual").alias("qual2"))
+    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("seq2", "qual2")]
+    return consensus(pairs.drop("seq2", "qual2"), how).join(other, "bcid", "left").select(*(f.split()[0] for f in SCHEMA.split(", ")), *text)
+
+
+def by_barcode(found: DataFrame) -> DataFrame:
+    """Usable reads in the order of their barcodes' text, then of the files, as older releases sorted them."""
+    return found.where("status <> 'failed'").orderBy("barcode", "file_idx", "read_idx")

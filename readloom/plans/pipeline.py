@@ -56,8 +56,10 @@ class Run:
     def rates(self) -> DataFrame:
         return consensus.error_rates(self.consensus)
 
-    def diameters(self, how: Settings | None = None) -> DataFrame:
-        return cluster.diameters(self.counts, self.assignments, self.found.count(), (how or self.how).max_mismatches)
+    def diameters(self, least: int | None = None) -> DataFrame:
+        """The largest clusters, of ``least`` reads or, by default, a hundred and 0.1% of all reads."""
+        least = max(100, self.found.count() // 1000) if least is None else least
+        return cluster.diameters(self.counts, self.assignments, least, self.how.max_mismatches)
 
 
 def run(reads: DataFrame, how: Settings) -> Run:

@@ -10,8 +10,8 @@ from readloom.functions.text import value_sql
 from readloom.operators import barcodes, cluster, consensus, evaluate, pileup, split
 from readloom.operators.salted import group_summary, heavy_groups
 from readloom.plans import pipeline
-from readloom.session import spread, table
-from readloom.sources import error_parse
+from readloom.session import Scratch, spread, table
+from readloom.sources import error_parse, fastq
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -128,6 +128,52 @@ def scan_reads(spark, sf):
     )
 
 
+def _as_files(spark, sf, reverse=False):
+    """The reads as one FASTQ file for each file_idx, every third one gzipped, in the shared folder: (paths, file_idx)."""
+    reads = table(spark, sf, "reads").where("file_idx is not null")
+    if reverse:
+        reads = reads.withColumns({"header": F.concat("header", F.lit("/2")), "seq": F.reverse("seq"), "qual": F.reverse("qual")})
+    scratch = Scratch(spark)
+    made = {}
+    for zipped in (False, True):
+        some = reads.where((F.col("file_idx") % 3 == 0) == zipped).repartition("file_idx").sortWithinPartitions("file_idx", "read_idx")
+        lines = some.select(F.col("file_idx").alias("number"), fastq.record().alias("value"))
+        paths = fastq.write_pieces(lines, f"{scratch.root}/{'zipped' if zipped else 'plain'}", lambda n: f"{n}.fastq", zipped)
+        made |= {int(p.rsplit("/", 1)[1].removesuffix(".fastq")): p for p in paths}
+    return [made[k] for k in sorted(made)], sorted(made)
+
+
+def _of_files(df, numbers):
+    return df.withColumn("file_idx", F.get(F.array(*map(F.lit, numbers)), F.col("file_idx")).cast("int"))
+
+
+_STORED = """SELECT file_idx, row_number() OVER (PARTITION BY file_idx ORDER BY read_idx) - 1 AS read_idx, coalesce(header, '') AS header,
+    coalesce(seq, '') AS seq, coalesce(plus, '+') AS plus, coalesce(qual, '') AS qual FROM reads WHERE file_idx IS NOT NULL"""
+
+
+@query("scan_fastq", _STORED)
+def scan_fastq(spark, sf):
+    paths, numbers = _as_files(spark, sf)
+    return _of_files(fastq.read_fastq(spark, paths, split_bytes=1 << 20), numbers)
+
+
+@query("scan_fastq_source", "SELECT file_idx, count(*) AS n_reads, CAST(sum(length(seq)) AS BIGINT) AS n_bases FROM reads WHERE file_idx IS NOT NULL GROUP BY file_idx")
+def scan_fastq_source(spark, sf):
+    paths, numbers = _as_files(spark, sf)
+    spark.dataSource.register(fastq.FastqSource)
+    made = _of_files(spark.read.format("fastq").option("paths", ",".join(paths)).load(), numbers)
+    return made.groupBy("file_idx").agg(F.count(F.lit(1)).alias("n_reads"), F.sum(F.length("seq")).alias("n_bases"))
+
+
+@query(
+    "scan_pairs",
+    f"""SELECT file_idx, read_idx, header, seq, qual, header || '/2' AS header2, reverse(seq) AS seq2, reverse(qual) AS qual2 FROM ({_STORED})""",
+)
+def scan_pairs(spark, sf):
+    (first, numbers), (second, _) = _as_files(spark, sf), _as_files(spark, sf, reverse=True)
+    return _of_files(fastq.read_pairs(spark, first, second), numbers).select("file_idx", "read_idx", "header", "seq", "qual", "header2", "seq2", "qual2")
+
+
 @query("extract_fixed", f"SELECT read_idx, barcode, n_unknown, status FROM ({_FOUND})")
 def extract_fixed(spark, sf):
     return _found(spark, sf).select("read_idx", "barcode", "n_unknown", "status")
@@ -149,6 +195,34 @@ def extract_context(spark, sf):
     return _found(spark, sf, CONTEXT).select("read_idx", "barcode")
 
 
+START = Settings(extraction=Extraction(context=Context.parse("^ACGNNNNNNNNNNNN"), max_indels=0))
+END = Settings(extraction=Extraction(context=Context.parse("GATCCGTTANNNNNNTGGAC$"), max_indels=1))
+TO_END = Settings(extraction=Extraction(context=Context.parse("GATCCGTTANNNNNNNNNNN$"), max_indels=1))
+
+
+@query(
+    "extract_anchored_start",
+    f"""SELECT read_idx, CASE WHEN {_sql_hit('0', 'least(length(s), 5) - 3', 'ACG')} = 0 AND length(s) >= 15 THEN substr(s, 4, 12) END AS barcode
+    FROM (SELECT read_idx, upper(seq) AS s FROM reads)""",
+)
+def extract_anchored_start(spark, sf):
+    return _found(spark, sf, START).select("read_idx", "barcode")
+
+
+@query("extract_anchored_end", ORACLE["extract_context"].replace("abs(hit - b - 6) <= 1", "abs(hit - b - 6) <= 1 AND hit + 5 = length(s)"))
+def extract_anchored_end(spark, sf):
+    return _found(spark, sf, END).select("read_idx", "barcode")
+
+
+@query(
+    "extract_to_end",
+    f"""SELECT read_idx, CASE WHEN abs(length(s) - b - 11) <= 1 THEN substr(s, CAST(b AS INT) + 1) END AS barcode FROM
+    (SELECT read_idx, s, {_sql_hit('0', 'length(s) - 9', 'GATCCGTTA')} + 9 AS b FROM (SELECT read_idx, upper(seq) AS s FROM reads))""",
+)
+def extract_to_end(spark, sf):
+    return _found(spark, sf, TO_END).select("read_idx", "barcode")
+
+
 @query("barcode_counts", _COUNTS)
 def barcode_counts(spark, sf):
     return barcodes.barcode_counts(_found(spark, sf))
@@ -172,6 +246,11 @@ def edges_substitution(spark, sf):
     return barcodes.substitution_pairs(barcodes.barcode_counts(_found(spark, sf)), 2)
 
 
+@query("edges_one_substitution", ORACLE["edges_substitution"].replace("<= 2", "<= 1"))
+def edges_one_substitution(spark, sf):
+    return barcodes.substitution_pairs(barcodes.barcode_counts(_found(spark, sf)), 1)
+
+
 _DELETED = "SELECT DISTINCT barcode, substr(barcode, 1, CAST(i AS INT) - 1) || substr(barcode, CAST(i AS INT) + 1) AS s FROM (SELECT barcode, unnest(range(1, length(barcode) + 1)) AS i FROM c)"
 
 
@@ -197,11 +276,69 @@ def edges_context_indel(spark, sf):
     return barcodes.indel_pairs(barcodes.barcode_counts(_found(spark, sf, CONTEXT)), 1, fixed=False)
 
 
-# the sequential rule has no SQL form on whole tables; tests compare it with a brute-force loop
-@query("clusters")
+# two deletions are one after the other; with one or two of them, both kinds of pairs come out
+_DELETED_TWICE = f"""d AS ({_DELETED}), d2 AS (SELECT DISTINCT barcode, substr(s, 1, CAST(i AS INT) - 1) || substr(s, CAST(i AS INT) + 1) AS s
+    FROM (SELECT barcode, s, unnest(range(1, length(s) + 1)) AS i FROM d))"""
+
+
+@query(
+    "edges_fixed_two_indels",
+    f"""WITH c AS MATERIALIZED (SELECT barcode FROM ({_COUNTS})), {_DELETED_TWICE},
+    h AS (SELECT c.barcode AS a, d.barcode AS b FROM c JOIN d ON substr(c.barcode, 1, length(c.barcode) - 1) = d.s AND c.barcode <> d.barcode
+      UNION SELECT c.barcode, d2.barcode FROM c JOIN d2 ON substr(c.barcode, 1, length(c.barcode) - 2) = d2.s AND c.barcode <> d2.barcode)
+    SELECT a, b FROM h UNION SELECT b, a FROM h""",
+)
+def edges_fixed_two_indels(spark, sf):
+    return barcodes.indel_pairs(barcodes.barcode_counts(_found(spark, sf)), 2, fixed=True)
+
+
+@query(
+    "edges_context_two_indels",
+    f"""WITH c AS MATERIALIZED ({_CONTEXT_COUNTS}), {_DELETED_TWICE},
+    h AS (SELECT c.barcode AS a, d.barcode AS b FROM c JOIN d ON c.barcode = d.s UNION SELECT c.barcode, d2.barcode FROM c JOIN d2 ON c.barcode = d2.s)
+    SELECT a, b FROM h UNION SELECT b, a FROM h""",
+)
+def edges_context_two_indels(spark, sf):
+    return barcodes.indel_pairs(barcodes.barcode_counts(_found(spark, sf, CONTEXT)), 2, fixed=False)
+
+
+# the sequential rule: the first barcode left (by falling count, length, text) takes its neighbours among those left
+_CLUSTERS = f"""(WITH RECURSIVE c AS MATERIALIZED ({_COUNTS}), d AS ({_DELETED}),
+    h AS (SELECT c.barcode AS a, d.barcode AS b FROM c JOIN d ON substr(c.barcode, 1, length(c.barcode) - 1) = d.s AND c.barcode <> d.barcode),
+    k AS MATERIALIZED (SELECT barcode, n, row_number() OVER (ORDER BY n DESC, length(barcode), barcode) AS r FROM c),
+    e AS (SELECT x.barcode AS a, y.barcode AS b FROM c x JOIN c y ON x.barcode <> y.barcode AND length(x.barcode) = length(y.barcode)
+      AND hamming(x.barcode, y.barcode) <= 2 UNION SELECT a, b FROM h UNION SELECT b, a FROM h),
+    near AS MATERIALIZED (SELECT x.r, list(y.r) AS l FROM e JOIN k x ON x.barcode = e.a JOIN k y ON y.barcode = e.b WHERE x.r < y.r GROUP BY x.r),
+    g(centre, got, rest) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), (SELECT list(r ORDER BY r) FROM k)
+      UNION ALL SELECT rest[1], list_prepend(rest[1], CASE WHEN l IS NULL THEN [] ELSE list_intersect(l, rest) END),
+      CASE WHEN l IS NULL THEN rest[2:] ELSE list_filter(rest[2:], lambda x: NOT list_contains(l, x)) END
+      FROM g LEFT JOIN near ON near.r = rest[1] WHERE len(rest) > 0),
+    m AS (SELECT centre, unnest(got) AS r FROM g WHERE centre > 0),
+    ids AS (SELECT k.r AS centre, k.barcode AS centroid, row_number() OVER (ORDER BY k.n DESC, k.barcode) AS bcid FROM k JOIN m ON m.centre = k.r AND m.r = k.r)
+    SELECT k.barcode, centroid, bcid, k.n FROM m JOIN k USING (r) JOIN ids USING (centre))"""
+
+
+def clustered(sql: str) -> str:
+    """The SQL of a query over exact barcodes, over clusters."""
+    return sql.replace(_EXACT_IDS, f"SELECT barcode, n, bcid FROM {_CLUSTERS}")
+
+
+#: Clusters within two substitutions or one indel, their reads summed up without alignment.
+GROUPED = Settings(extraction=Extraction(start=0, length=20), align=False)
+
+
+def _grouped(spark, sf):
+    return pipeline.run(table(spark, sf, "reads"), GROUPED)
+
+
+@query("clusters", f"SELECT barcode, centroid, bcid FROM {_CLUSTERS}")
 def clusters(spark, sf):
-    counts = barcodes.barcode_counts(_found(spark, sf))
-    return cluster.cluster(counts, HOW)
+    return cluster.cluster(barcodes.barcode_counts(_found(spark, sf)), HOW)
+
+
+@query("assign_to_clusters", clustered(f"SELECT read_idx, bcid FROM ({_ASSIGNED})"))
+def assign_to_clusters(spark, sf):
+    return _grouped(spark, sf).assigned.select("read_idx", "bcid")
 
 
 @query("clusters_exact", f"SELECT barcode, barcode AS centroid, bcid FROM ({_EXACT_IDS})")
@@ -277,9 +414,27 @@ def consensus_unaligned(spark, sf):
     )
 
 
-@query("consensus_failed", f'SELECT bcid, "count", seq, qual FROM ({_RECORDS}) WHERE bc IS NULL')
+@query("consensus_of_clusters", clustered(ORACLE["consensus_unaligned"]))
+def consensus_of_clusters(spark, sf):
+    made = _grouped(spark, sf).passed()
+    return made.select(
+        "bc", "bcid", "count", "min_q", "mean_q", F.round("minor_frac_mean", 6).alias("minor_frac_mean"), F.round("minor_frac_max", 6).alias("minor_frac_max"), "seq", "qual"
+    )
+
+
+#: A barcode so far along the read that the consensus of some groups ends before it.
+LATE = Settings(extraction=Extraction(start=100, length=20, max_indels=0), max_mismatches=0, align=False)
+
+
+def _late(sql: str) -> str:
+    for form in ("upper(substr(seq, {}, 20))", "substr(seq, {}, 20)"):
+        sql = sql.replace("length(seq) >= 20 THEN " + form.format(1), "length(seq) >= 120 THEN " + form.format(101))
+    return sql
+
+
+@query("consensus_failed", _late(f'SELECT bcid, "count", seq, qual FROM ({_RECORDS}) WHERE bc IS NULL'))
 def consensus_failed(spark, sf):
-    return _exact(spark, sf).consensus.where("bc is null").select("bcid", "count", "seq", "qual")
+    return pipeline.run(table(spark, sf, "reads"), LATE).consensus.where("bc is null").select("bcid", "count", "seq", "qual")
 
 
 @query("error_rates", f"SELECT CAST(sum(calls) AS BIGINT) AS calls, round(sum(missense) / sum(calls), 9) AS missense_rate, CAST(0 AS DOUBLE) AS indel_rate FROM ({_RECORDS})")
@@ -294,31 +449,45 @@ def consensus_aligned(spark, sf):
     return pipeline.run(table(spark, sf, "reads"), HOW).passed().drop("calls", "missense", "indels")
 
 
-@query("consensus_fastq")
+_LINES_OF = """SELECT concat_ws(chr(10), printf('@bc=%s;bcid=%d;count=%d;min_q=%d;mean_q=%d;minor_frac_mean=%.3f;minor_frac_max=%.3f',
+    bc, bcid, "count", min_q, mean_q, CAST(minor_mean AS DOUBLE), CAST(minor_max AS DOUBLE)), seq, '+', qual) AS value FROM ({}) WHERE bc IS NOT NULL"""
+
+
+@query("consensus_fastq", clustered(_LINES_OF.format(_RECORDS)))
 def consensus_fastq(spark, sf):
-    return consensus.fastq_lines(pipeline.run(table(spark, sf, "reads"), HOW).consensus)
+    return _grouped(spark, sf).fastq_lines()
+
 
+@query("aligned_fastq")
+def aligned_fastq(spark, sf):
+    return pipeline.run(table(spark, sf, "reads"), HOW).fastq_lines()
 
-@query("failed_fastq")
+
+@query(
+    "failed_fastq",
+    _late(f"""SELECT concat_ws(chr(10), coalesce(header, ''), coalesce(seq, ''), coalesce(plus, ''), coalesce(qual, '')) AS value FROM ({_ASSIGNED}) WHERE bcid IS NULL
+    UNION ALL SELECT concat_ws(chr(10), printf('@bcid=%d;count=%d', bcid, "count"), seq, '+', qual) FROM ({_RECORDS}) WHERE bc IS NULL"""),
+)
 def failed_fastq(spark, sf):
-    return pipeline.run(table(spark, sf, "reads"), EXACT).failed_lines()
+    return pipeline.run(table(spark, sf, "reads"), LATE).failed_lines()
 
 
-_SIZES = f"SELECT bcid, CAST(1 AS BIGINT) AS n_barcodes, n AS n_reads FROM ({_EXACT_IDS})"
+_SIZES = f"SELECT bcid, count(*) AS n_barcodes, CAST(sum(n) AS BIGINT) AS n_reads FROM {_CLUSTERS} GROUP BY bcid"
 
 
 @query("cluster_sizes", _SIZES)
 def cluster_sizes(spark, sf):
-    r = _exact(spark, sf)
+    r = _grouped(spark, sf)
     return evaluate.cluster_sizes(r.counts, r.assignments)
 
 
 @query(
     "size_histogram",
-    f"SELECT CAST(1 AS BIGINT) AS n_barcodes, count(*) AS n_clusters, min(n_reads) AS least_reads, max(n_reads) AS most_reads, round(avg(n_reads), 6) AS mean_reads FROM ({_SIZES})",
+    f"""SELECT least(n_barcodes, 13) AS n_barcodes, count(*) AS n_clusters, min(n_reads) AS least_reads, max(n_reads) AS most_reads,
+    round(avg(n_reads), 6) AS mean_reads FROM ({_SIZES}) GROUP BY 1""",
 )
 def size_histogram(spark, sf):
-    r = _exact(spark, sf)
+    r = _grouped(spark, sf)
     out = evaluate.size_histogram(evaluate.cluster_sizes(r.counts, r.assignments))
     return out.withColumn("mean_reads", F.round("mean_reads", 6))
 
@@ -334,23 +503,55 @@ def truth_tags(spark, sf):
 
 @query(
     "split_histogram",
-    f"SELECT least(n, 6) AS n_clusters, count(*) AS n_barcodes FROM (SELECT true_bc, count(DISTINCT bcid) AS n FROM ({_TRUTH}) GROUP BY true_bc) GROUP BY 1",
+    clustered(f"SELECT least(n, 6) AS n_clusters, count(*) AS n_barcodes FROM (SELECT true_bc, count(DISTINCT bcid) AS n FROM ({_TRUTH}) GROUP BY true_bc) GROUP BY 1"),
 )
 def split_histogram(spark, sf):
-    return evaluate.split_histogram(evaluate.truth_pairs(_exact(spark, sf).assigned))
+    return evaluate.split_histogram(evaluate.truth_pairs(_grouped(spark, sf).assigned))
 
 
 @query(
     "merge_histogram",
-    f"SELECT least(n, 6) AS n_barcodes, count(*) AS n_clusters FROM (SELECT bcid, count(DISTINCT true_bc) AS n FROM ({_TRUTH}) GROUP BY bcid) GROUP BY 1",
+    clustered(f"SELECT least(n, 6) AS n_barcodes, count(*) AS n_clusters FROM (SELECT bcid, count(DISTINCT true_bc) AS n FROM ({_TRUTH}) GROUP BY bcid) GROUP BY 1"),
 )
 def merge_histogram(spark, sf):
-    return evaluate.merge_histogram(evaluate.truth_pairs(_exact(spark, sf).assigned))
+    return evaluate.merge_histogram(evaluate.truth_pairs(_grouped(spark, sf).assigned))
 
 
-@query("diameters")
+_PART = "SELECT '{}' AS section, CAST({} AS INT) AS bin, '{}' AS measure, round(CAST({} AS DOUBLE), 6) AS value FROM ({})"
+
+
+@query(
+    "evaluation_report",
+    " UNION ALL ".join(
+        _PART.format(section, key, measure, measure, sql)
+        for section, key, measures, sql in (
+            ("barcodes of a cluster", "n_barcodes", ("n_clusters", "least_reads", "most_reads", "mean_reads"), ORACLE["size_histogram"]),
+            ("clusters of a true barcode", "n_clusters", ("n_barcodes",), ORACLE["split_histogram"]),
+            ("true barcodes of a cluster", "n_barcodes", ("n_clusters",), ORACLE["merge_histogram"]),
+            ("reads", "0", ("n_reads", "n_without_truth"), clustered(f"""SELECT count(*) AS n_reads, count(*) FILTER (position('barcode=' IN header) = 0 OR header IS NULL
+                OR {_TRUE} = '') AS n_without_truth FROM ({_ASSIGNED}) WHERE bcid IS NOT NULL""")),
+        )
+        for measure in measures
+    ),
+)
+def evaluation_report(spark, sf):
+    r = _grouped(spark, sf)
+    return evaluate.report(r.counts, r.assignments, r.assigned).withColumn("value", F.round("value", 6))
+
+
+# groups here are small, so the report starts at two reads instead of a hundred
+@query(
+    "diameters",
+    f"""WITH x AS MATERIALIZED (SELECT * FROM {_CLUSTERS}), big AS (SELECT bcid, centroid, CAST(sum(n) AS BIGINT) AS n_reads FROM x GROUP BY bcid, centroid
+      HAVING sum(n) >= 2 ORDER BY n_reads DESC, bcid LIMIT 20),
+    sampled AS (SELECT bcid, centroid, barcode FROM x JOIN big USING (bcid, centroid) WHERE barcode <> centroid QUALIFY row_number() OVER (PARTITION BY bcid ORDER BY barcode) <= 10),
+    y AS (SELECT bcid, CAST(max(CASE WHEN length(barcode) = length(centroid) THEN hamming(barcode, centroid) END) AS INT) AS d,
+      count(*) FILTER (length(barcode) <> length(centroid)) AS n_other_length, count(*) AS n_sampled FROM sampled GROUP BY bcid)
+    SELECT bcid, centroid, n_reads, coalesce(d, 0) AS max_distance, coalesce(n_other_length, 0) AS n_other_length, coalesce(n_sampled, 0) AS n_sampled,
+    coalesce(n_sampled, 0) > 0 AND coalesce(d, 0) >= 2 AS suspicious FROM big LEFT JOIN y USING (bcid)""",
+)
 def diameters(spark, sf):
-    return pipeline.run(table(spark, sf, "reads"), HOW).diameters(HOW)
+    return _grouped(spark, sf).diameters(least=2)
 
 
 @query(
@@ -366,13 +567,14 @@ def split_files(spark, sf):
 
 @query(
     "same_records",
-    """WITH x AS (SELECT DISTINCT header, seq, plus, qual FROM reads WHERE file_idx <= 12), y AS (SELECT DISTINCT header, seq, plus, qual FROM reads WHERE file_idx >= 8)
-    SELECT only_first, only_second, only_first = 0 AND only_second = 0 AS same FROM (SELECT count(*) AS only_first FROM (SELECT * FROM x EXCEPT SELECT * FROM y)),
-    (SELECT count(*) AS only_second FROM (SELECT * FROM y EXCEPT SELECT * FROM x))""",
+    """WITH m AS (SELECT DISTINCT coalesce(header, '') || ' changed' AS header, seq, plus, qual FROM reads WHERE header IS NULL OR position('barcode=' IN header) = 0)
+    SELECT CAST(0 AS BIGINT) AS only_first, count(*) AS only_second, count(*) = 0 AS same FROM m""",
 )
 def same_records(spark, sf):
+    """All reads against themselves and all reads once more, those without a tag under a header no read has."""
     r = table(spark, sf, "reads")
-    return evaluate.same_records(r.where("file_idx <= 12"), r.where("file_idx >= 8"))
+    marked = r.withColumn("header", F.when(F.coalesce(F.locate("barcode=", "header"), F.lit(0)) == 0, F.concat(F.coalesce("header", F.lit("")), F.lit(" changed"))).otherwise(F.col("header")))
+    return evaluate.same_records(r, r.unionByName(marked))
 
 
 @query(
@@ -415,14 +617,40 @@ def partial_barcodes(spark, sf):
     return table(spark, sf, "reads").select("read_idx", partial_barcode(F.col("seq"), 100, 20).alias("barcode"))
 
 
+_MATES = "SELECT file_idx, read_idx, header || '/2' AS header, reverse(seq) AS seq, reverse(qual) AS qual FROM reads"
+
+
+def _pairs(spark, sf, first):
+    """Reads joined with mates of their own, which are stored in another order."""
+    mates = table(spark, sf, "reads").withColumns({"header": F.concat("header", F.lit("/2")), "seq": F.reverse("seq"), "qual": F.reverse("qual")})
+    return evaluate.paired(first, mates.orderBy(F.desc("read_idx")))
+
+
 @query(
     "paired_reads",
-    """SELECT a.file_idx, a.read_idx, a.seq, b.header AS header2, b.seq AS seq2, b.qual AS qual2 FROM reads a
-    JOIN reads b ON b.file_idx = a.file_idx AND b.read_idx = a.read_idx""",
+    f"""SELECT a.file_idx, a.read_idx, a.header, a.seq, b.header AS header2, b.seq AS seq2, b.qual AS qual2 FROM reads a
+    JOIN ({_MATES}) b ON b.file_idx = a.file_idx AND b.read_idx = a.read_idx""",
 )
 def paired_reads(spark, sf):
-    r = table(spark, sf, "reads")
-    return evaluate.paired(r, r).select("file_idx", "read_idx", "seq", "header2", "seq2", "qual2")
+    return _pairs(spark, sf, table(spark, sf, "reads")).select("file_idx", "read_idx", "header", "seq", "header2", "seq2", "qual2")
+
+
+@query(
+    "paired_consensus",
+    f"""SELECT x.bcid, x.count, x.seq, x.qual, coalesce(y.seq, '') AS seq2, coalesce(y.qual, '') AS qual2 FROM ({_CONSENSUS}) x LEFT JOIN
+    ({_CONSENSUS.replace(f'({_ASSIGNED})', f'(SELECT * REPLACE (reverse(seq) AS seq, reverse(qual) AS qual) FROM ({_ASSIGNED}))')}) y ON y.bcid = x.bcid""",
+)
+def paired_consensus(spark, sf):
+    pairs = _pairs(spark, sf, _exact(spark, sf).assigned)
+    return consensus.paired_consensus(pairs, EXACT).select("bcid", "count", "seq", "qual", "seq2", "qual2")
+
+
+@query(
+    "sorted_by_barcode",
+    f"SELECT read_idx, barcode, row_number() OVER (ORDER BY barcode, file_idx, read_idx) AS place FROM ({_FOUND}) WHERE status <> 'failed'",
+)
+def sorted_by_barcode(spark, sf):
+    return evaluate.placed(consensus.by_barcode(_found(spark, sf)).select("read_idx", "barcode"))
 
 
 @query("unknown_bases", f"SELECT n_unknown, count(*) AS n_reads FROM ({_FOUND}) GROUP BY n_unknown")

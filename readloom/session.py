@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -59,7 +60,7 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, local mode) a temporary folder is made and set.
+    Only where a local session names none (tests) a temporary folder is made and set; a cluster must name one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -67,6 +68,8 @@ def shared_dir(spark: SparkSession) -> str:
     made = spark.sparkContext._jsc.sc().getCheckpointDir()
     if made.isDefined():
         return made.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="readloom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -74,29 +77,34 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder to cut lineage; each survives the loss of executors.
 
-    ``put`` writes and reads back. ``drop`` removes a table that no later step reads.
+    ``put`` writes and reads back. ``drop`` removes a table that no later step reads; whatever is left goes when the
+    driver ends, since results are lazy over it.
     """
 
     def __init__(self, spark: SparkSession):
         ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
         self.made = 0
+        atexit.register(self._remove, self.root)
 
     def put(self, df: DataFrame) -> DataFrame:
         self.made += 1
         path = f"{self.root}/{self.made}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 
+    def _remove(self, path: str) -> None:
+        try:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the driver's JVM is gone
+            pass
+
     def drop(self, *tables: DataFrame | None) -> None:
-        jvm = self.spark._jvm
         for t in tables:
             path = getattr(t, "_scratch_path", None)
             if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                self._remove(path)

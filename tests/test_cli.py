@@ -40,10 +40,13 @@ def test_evaluate_and_compare_and_split(spark, tmp_path, capsys):
     b.write_text("\n".join(four[0]))
     assert main(["compare", str(a), str(b)], spark) == 1
     assert main(["evaluate", "--in", str(a)], spark) == 0
+    a.write_text(a.read_text() + "@short\nAC\n+\nII\n")
     assert main(["split", "--in1", str(a), "--size", "3", "--out", str(tmp_path / "p"), "--bc-len", "4"], spark) == 0
-    pieces = sorted((tmp_path / "p").glob("file_no=*"))
-    kept = [x for p in pieces for f in sorted(p.glob("part-*")) for x in f.read_text().split("\n") if x]
-    assert len(pieces) > 1 and sorted(kept) == sorted(records)
+    said = capsys.readouterr()
+    pieces = sorted((tmp_path / "p").glob("*"))
+    assert [p.name for p in pieces] == [f"a_{i:04d}.fastq" for i in range(1, len(pieces) + 1)] and len(pieces) > 1
+    assert [x for p in pieces for x in p.read_text().split("\n") if x] == records
+    assert str(pieces[0]) in said.out and "skipped 1 reads" in said.err
 
 
 def test_flags():

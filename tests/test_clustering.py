@@ -124,5 +124,5 @@ def test_diameters(spark):
     rows = [("AAAA", 500), ("AAAC", 3), ("AACC", 2), ("AAA", 1), ("GGGG", 50)]
     counts = spark.createDataFrame(rows, "barcode string, n long")
     assign = spark.createDataFrame([(b, "GGGG" if b == "GGGG" else "AAAA", 2 if b == "GGGG" else 1) for b, _ in rows], "barcode string, centroid string, bcid long")
-    (r,) = diameters(counts, assign, 600, 2).collect()
+    (r,) = diameters(counts, assign, 100, 2).collect()
     assert (r.bcid, r.n_reads, r.max_distance, r.n_other_length, r.n_sampled, r.suspicious) == (1, 506, 2, 1, 3, True)

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from readloom.sources import error_parse as ep
-from readloom.sources.fastq import FastqSource, is_gzip, lines_of, read_fastq, split_name, write_fastq
+from readloom.sources.fastq import FastqSource, is_gzip, lines_of, read_fastq, read_pairs, split_file, split_name, write_fastq, write_pairs
 
 
 def record(rng, i):
@@ -60,6 +60,37 @@ def test_round_trip(spark, tmp_path):
     assert sorted(tuple(r) for r in read_fastq(spark, [str(part)]).collect()) == rows
 
 
+def test_pieces_of_a_gzipped_file_by_uri(spark, tmp_path):
+    rng = random.Random(3)
+    recs = [[f"@r{i}", "ACGT"[i // 7 % 4] * 5 + "".join(rng.choice("ACGT") for _ in range(9)), "+", "I" * 14] for i in range(60)]
+    z = tmp_path / "a.fastq.gz"
+    z.write_bytes(gzip.compress("\n".join(x for r in recs for x in r).encode()))
+    reads = read_fastq(spark, [f"file://{z}"])
+    paths, skipped = split_file(reads, str(z), 0, 5, 2, f"file:{tmp_path}/pieces")
+    assert skipped == 0 and [p.rsplit("/", 1)[1] for p in paths] == [f"a_{i:04d}.fastq.gz" for i in range(1, 6)]
+    assert [list(r)[2:] for r in read_fastq(spark, paths).orderBy("file_idx", "read_idx").collect()] == recs
+    with pytest.raises(FileNotFoundError):
+        read_fastq(spark, [f"file://{tmp_path}/none"])
+
+
+def test_pairs_of_files(spark, tmp_path):
+    rng = random.Random(4)
+    one, two = ([record(rng, i) for i in range(40)] for _ in range(2))
+    for name, recs in (("a", one), ("b", two), ("short", two[:-1])):
+        (tmp_path / name).write_text("\n".join(x for r in recs for x in r) + "\n")
+    pairs = read_pairs(spark, [str(tmp_path / "a")], [str(tmp_path / "b")])
+    got = sorted((tuple(r) for r in pairs.select("header", "seq", "qual", "header2", "seq2", "qual2").collect()), key=lambda r: int(r[0][2:]))
+    assert got == [(x[0], x[1], x[3], y[0], y[1], y[3]) for x, y in zip(one, two)]
+    write_pairs(pairs, str(tmp_path / "out"))
+    halves = [["".join(p.read_text() for p in sorted((tmp_path / f"out_{k}").glob("part-*"))).split("\n")[i::4] for i in (0, 1)] for k in (1, 2)]
+    mate = {x[0]: y for x, y in zip(one, two)}
+    assert [mate[h][1] for h in halves[0][0] if h] == [s for s in halves[1][1] if s] and len(halves[0][1]) >= 40
+    with pytest.raises(Exception, match="no mate"):
+        read_pairs(spark, [str(tmp_path / "a")], [str(tmp_path / "short")]).count()
+    with pytest.raises(ValueError):
+        read_pairs(spark, [str(tmp_path / "a")], [])
+
+
 def test_piece_names():
     assert split_name("d/a.fastq.gz", 3) == "a_0003.fastq.gz"
     assert split_name("a.fq.gz", 12) == "a_0012.fq.gz"
