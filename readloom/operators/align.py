@@ -41,7 +41,8 @@ def similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _band_scores(refs: np.ndarray, queries: np.ndarray, m: np.ndarray, n: np.ndarray, w: int, gap: np.float32):
     """Scores of the end cells, and moves by anti-diagonal d = x + y and y; cells with |x - y| > w are outside.
 
-    References are profiles and queries single reads, which have one class at each position. All
+    References are profiles. Queries are single reads, which have one class at each position, or, all of
+    them, profiles too; their share of gaps then lowers the cost of a gap as a reference's does. All
     cells of an anti-diagonal, of all groups, are one vector operation. A cell needs only smaller x
     and y, so groups of different lengths share the arrays.
     """
@@ -49,9 +50,14 @@ def _band_scores(refs: np.ndarray, queries: np.ndarray, m: np.ndarray, n: np.nda
     r_size = np.sqrt((refs.astype(np.float64) ** 2).sum(-1))
     weight = queries.max(-1).astype(np.float64)
     kind = queries.argmax(-1)
+    single = not (np.count_nonzero(queries, axis=-1) > 1).any()
+    if not single:
+        weight = np.sqrt((queries.astype(np.float64) ** 2).sum(-1))
     total = refs.sum(-1)
     share = refs[:, :, 4].astype(np.float32) / np.maximum(total, 1).astype(np.float32)
     left_cost = np.where(refs[:, :, 4] > 0, gap * (np.float32(1) - share), gap).astype(np.float32)
+    up_share = queries[:, :, 4].astype(np.float32) / np.maximum(queries.sum(-1), 1).astype(np.float32)
+    up_cost = np.where(queries[:, :, 4] > 0, gap * (np.float32(1) - up_share), gap).astype(np.float32)
     each = np.arange(groups)[:, None]
     moves = np.zeros((cols + rows + 1, groups, min(rows, w) + 2), np.int8)
     end = np.full(groups, FAR, np.float32)
@@ -70,7 +76,7 @@ def _band_scores(refs: np.ndarray, queries: np.ndarray, m: np.ndarray, n: np.nda
                 cx, cy = xs[i:j] - 1, ys[i:j] - 1
                 wt = weight[:, cy]
                 size = r_size[:, cx] * wt
-                dot = refs[each, cx[None, :], kind[:, cy]] * wt
+                dot = refs[each, cx[None, :], kind[:, cy]] * wt if single else (refs[:, cx] * queries[:, cy]).sum(-1)
                 match = np.where(size > 0, 2.0 * (dot / np.where(size > 0, size, 1.0)) - 1.0, 0.0).astype(np.float32)
                 best[:, i:j] = two[:, low + i : low + j] + match
                 move[:, i:j] = 1
@@ -81,7 +87,9 @@ def _band_scores(refs: np.ndarray, queries: np.ndarray, m: np.ndarray, n: np.nda
                 take = cand > best[:, :j]
                 best[:, :j][take], move[:, :j][take] = cand[take], 2
             if i < len(ys):  # y > 0: from above
-                cand = one[:, low + i : high + 1] + gap
+                cand = one[:, low + i : high + 1] + up_cost[:, ys[i:] - 1]
+                if high == d:  # before the reference begins
+                    cand[:, -1] = one[:, high] + gap
                 take = cand > best[:, i:]
                 best[:, i:][take], move[:, i:][take] = cand[take], 3
             if d == 0:
@@ -229,6 +237,11 @@ def fold(groups: list[list[tuple[str, str | None]]], gap: float) -> list[np.ndar
         piles = np.stack([profile(s, q, length) for s, q in reads])
         like = similarity(piles, piles.sum(0)).sum(1)
         ordered.append(piles[np.argsort(-like, kind="stable")])
+    return fold_profiles(ordered, gap)
+
+
+def fold_profiles(ordered: list, gap: float) -> list[np.ndarray]:
+    """The profiles of each group merged one by one into the first."""
     state = [p[0] for p in ordered]
     for k in range(1, max((len(p) for p in ordered), default=0)):
         live = [i for i, p in enumerate(ordered) if len(p) > k]

@@ -2,65 +2,129 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.config import Settings
 from readloom.functions.dna import barcode_of, quality_stats
-from readloom.operators.align import call, fold
+from readloom.operators.align import call, fold, fold_profiles
 from readloom.operators.pileup import called, consensus_of, pileup
+from readloom.session import Scratch
 
 SCHEMA = "bcid long, count long, seq string, qual string, minor_frac_max double, minor_frac_mean double, calls long, missense long, indels long"
-#: Groups that are folded in lockstep, and reads after which a lockstep starts.
+#: Reads after which a lockstep starts.
 LOCKSTEP_READS = 20_000
+#: An aligned group of more reads is folded in parts of about so many, whose profiles are then folded.
+PART_READS = 1_000
+FAN_IN = 32
+
+_NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
+_PARTS = SCHEMA + ", part long, profile binary"
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.float64()] * 2, *[pa.int64()] * 3, pa.int64(), pa.binary()]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=[*_NAMES, "part", "profile"])
+
+
+def _by_group(batches, most: int, width: int):
+    """Rows sorted by (bcid, part, whole) in lists of (key, rows), each list of about ``most`` rows or of one group."""
+    done, held, current, rows = [], 0, None, []
+    for b in batches:
+        for key, *row in zip(zip(*(c.to_pylist() for c in b.columns[:width])), *(c.to_pylist() for c in b.columns[width:])):
+            if key != current:
+                if rows:
+                    done.append((current, rows))
+                    held += len(rows)
+                current, rows = key, []
+                if held >= most:
+                    yield done
+                    done, held = [], 0
+            rows.append(row)
+    if rows:
+        done.append((current, rows))
+    if done:
+        yield done
+
+
+def _results(keys: list[tuple], counts: list[int], profiles: list) -> pa.RecordBatch:
+    """Records of whole groups, and profiles of parts."""
+    blank = ("", "", 0.0, 0.0, 0, 0, 0)
+    return _batch(
+        [
+            (i, n, *call(p), None, None) if whole else (i, n, *blank, part, p.astype("<i8").tobytes())
+            for (i, part, whole), n, p in zip(keys, counts, profiles)
+        ]
+    )
 
 
-def _fold_partition(gap: float):
+def _fold_reads(gap: float):
     """Reads sorted by group, many groups at a time; a group that straddles batches is carried over."""
 
-    def emit(groups: list[tuple[int, list]]):
-        several = [(i, g) for i, g in groups if len(g) > 1]
-        rows = [(i, 1, g[0][0], g[0][1] or "", 0.0, 0.0, 0, 0, 0) for i, g in groups if len(g) == 1]
-        rows += [(i, len(g), *call(p)) for (i, g), p in zip(several, fold([g for _, g in several], gap))]
-        names = [f.split()[0] for f in SCHEMA.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+    def run(batches):
+        for groups in _by_group(batches, LOCKSTEP_READS, 3):
+            alone = [(i, 1, g[0][0], g[0][1] or "", 0.0, 0.0, 0, 0, 0, None, None) for (i, _, whole), g in groups if len(g) == 1 and whole]
+            if alone:
+                yield _batch(alone)
+            several = [(k, g) for k, g in groups if len(g) > 1 or not k[2]]
+            if several:
+                yield _results([k for k, _ in several], [len(g) for _, g in several], fold([g for _, g in several], gap))
+
+    return run
+
 
+def _fold_parts(gap: float):
     def run(batches):
-        done, held, current, reads = [], 0, None, []
-        for b in batches:
-            for i, s, q in zip(*(c.to_pylist() for c in b.columns)):
-                if i != current:
-                    if reads:
-                        done.append((current, reads))
-                        held += len(reads)
-                    current, reads = i, []
-                    if held >= LOCKSTEP_READS:
-                        yield emit(done)
-                        done, held = [], 0
-                reads.append((s, q))
-        if reads:
-            done.append((current, reads))
-        if done:
-            yield emit(done)
+        for groups in _by_group(batches, 4 * FAN_IN, 3):
+            profiles = [[np.frombuffer(p, "<i8").reshape(-1, 5) for _, p in g] for _, g in groups]
+            yield _results([k for k, _ in groups], [sum(n for n, _ in g) for _, g in groups], fold_profiles(profiles, gap))
 
     return run
 
 
+def _aligned(usable: DataFrame, how: Settings) -> DataFrame:
+    """Aligned groups; ones of more than PART_READS reads in parts, whose profiles are folded in a tree of FAN_IN."""
+    scratch = Scratch(usable.sparkSession)
+    sizes = usable.groupBy("bcid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART_READS)
+    sizes = scratch.put(sizes.select("bcid", F.ceil(F.col("n") / PART_READS).cast("long").alias("parts")))
+    most = sizes.agg(F.max("parts")).first()[0] or 1
+    if most > 1:
+        cut = usable.join(sizes, "bcid", "left").withColumn("parts", F.coalesce("parts", F.lit(1)).cast("long"))
+    else:
+        cut = usable.withColumn("parts", F.lit(1).cast("long"))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("file_idx", "read_idx"), F.col("parts")))
+    ordered = cut.repartition("bcid", "part").sortWithinPartitions("bcid", "part", "file_idx", "read_idx")
+    made = ordered.select("bcid", "part", (F.col("parts") == 1).alias("whole"), "seq", "qual").mapInArrow(_fold_reads(how.gap), _PARTS)
+    if most == 1:
+        return made.select(*_NAMES)
+    done = []
+    while most > 1:
+        made = scratch.put(made)
+        done.append(made.where("profile is null").select(*_NAMES))
+        most = -(-most // FAN_IN)
+        up = made.where("profile is not null").withColumn("into", F.floor(F.col("part") / FAN_IN))
+        up = up.repartition("bcid", "into").sortWithinPartitions("bcid", "into", "part")
+        made = up.select("bcid", F.col("into").alias("part"), F.lit(most == 1).alias("whole"), "count", "profile").mapInArrow(_fold_parts(how.gap), _PARTS)
+    return reduce(DataFrame.unionByName, [*done, made.select(*_NAMES)])
+
+
 def consensus(reads: DataFrame, how: Settings) -> DataFrame:
     """Consensus of the reads (bcid, file_idx, read_idx, seq, qual): the columns of SCHEMA.
 
     A group of one read keeps its sequence and quality as they are. Other groups are summed position
     by position, or aligned: there the reads are shuffled once, and one pass over the sorted partitions
     folds many groups at a time.
-    A null or empty sequence is no read. A group's fold is a chain, so one huge group takes one task
-    as long as it has reads; without alignment groups of any size are aggregated in parts.
+    A null or empty sequence is no read. An aligned group's fold is a chain, so groups of more than PART_READS
+    reads are cut into parts by a hash of the read; the parts are folded like groups, and their profiles are
+    folded in turn. Groups of any size are so spread over tasks.
     """
     usable = reads.where("bcid is not null and length(seq) > 0").select("bcid", "file_idx", "read_idx", "seq", "qual")
     if how.align:
-        ordered = usable.repartition("bcid").sortWithinPartitions("bcid", "file_idx", "read_idx")
-        return ordered.select("bcid", "seq", "qual").mapInArrow(_fold_partition(how.gap), SCHEMA)
+        return _aligned(usable, how)
     size = usable.groupBy("bcid").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("seq", "qual")).alias("one"))
     zero = F.lit(0).cast("bigint")
     single = size.where("count = 1").select(

@@ -166,6 +166,27 @@ def test_aligned_consensus_is_the_fold_of_each_group(spark):
         assert (got[g]["seq"], got[g]["qual"]) == tuple(want) and got[g]["count"] == len(reads)
 
 
+def test_large_groups_are_folded_in_parts(spark, monkeypatch):
+    from readloom.operators import consensus as module
+
+    rng = random.Random(9)
+    groups, bases = {}, {}
+    for g, n in enumerate((1, 7, 20, 21, 230, 2)):
+        bases[g] = "".join(rng.choice("ACGT") for _ in range(90))
+        groups[g] = [read(rng, bases[g], 0.03) for _ in range(n)]
+    how = Settings(extraction=Extraction(length=10))
+    whole = {r["bcid"]: r for r in consensus(frame(spark, groups), how).collect()}
+    monkeypatch.setattr(module, "PART_READS", 20)
+    monkeypatch.setattr(module, "FAN_IN", 3)
+    got = {r["bcid"]: r for r in consensus(frame(spark, groups), how).collect()}
+    assert {g: r["count"] for g, r in got.items()} == {g: len(x) for g, x in groups.items()}
+    assert all(got[g] == whole[g] for g in (0, 1, 2, 5))
+    for g in (3, 4):
+        assert got[g]["seq"] == bases[g] == whole[g]["seq"] and abs(got[g]["calls"] - whole[g]["calls"]) < 0.02 * whole[g]["calls"]
+    again = {r["bcid"]: r for r in consensus(frame(spark, groups).repartition(7), how).collect()}
+    assert again == got
+
+
 def test_partitions_do_not_matter(spark):
     rng = random.Random(4)
     base = "".join(rng.choice("ACGT") for _ in range(60))
