@@ -10,34 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions.text import value_of
+from readloom.operators.salted import HOT, HOT_ROWS, hot_keys, salted_lookup
 from readloom.session import Scratch
 
-#: A key is hot if it owns more than 1/HOT of the rows, and at least HOT_ROWS; there are at most HOT such keys.
-HOT = 64
-HOT_ROWS = 10_000
-SALTS = 32
 #: Edges that one task can finish: 16 bytes each.
 LAST_EDGES = 50_000
 
 
-def _hot(df: DataFrame, key: str, rows: int) -> list:
-    """The at most HOT hot keys of a table of ``rows`` rows."""
-    least = max(rows // HOT, HOT_ROWS)
-    if rows <= least:
-        return []
-    return [r[0] for r in df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > least).select(key).collect()]
-
-
-def _lookup(rows: DataFrame, table: DataFrame, key: str, spread: str, hot: list, how: str = "inner") -> DataFrame:
-    """Join with a table of one row for each key, hot keys spread over salts by a hash of ``spread``."""
-    if not hot:
-        return rows.join(table, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    left = rows.withColumn("_s", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return left.join(table.withColumn("_s", F.explode(salts)), [key, "_s"], how).drop("_s")
-
-
 def boruvka(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(label, smallest label of its group) of all ends of edges u < v, by the rounds of ``connected_components``."""
     labels, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
@@ -77,23 +56,23 @@ def _round(edges: DataFrame, left: int, scratch: Scratch) -> tuple[DataFrame, Da
     # of two components that chose each other the smaller one becomes the root
     back = chosen.select(F.col("u").alias("p"), F.col("p").alias("pp"))
     root = (F.col("pp") == F.col("u")) & (F.col("u") < F.col("p"))
-    tree = scratch.put(_lookup(chosen.select("u", "p"), back, "p", "u", hot).select("u", F.when(root, F.col("u")).otherwise(F.col("p")).alias("p")))
+    tree = scratch.put(salted_lookup(chosen.select("u", "p"), back, "p", "u", hot).select("u", F.when(root, F.col("u")).otherwise(F.col("p")).alias("p")))
     done = [tree.where("u = p")]
     going, told = tree.where("u <> p"), hot
     while True:
         # a label whose parent is a root is done; the others point to their grandparents
         up = tree.select(F.col("u").alias("p"), F.col("p").alias("q"))
-        step = scratch.put(_lookup(going, up, "p", "u", told).select("u", "p", "q"))
+        step = scratch.put(salted_lookup(going, up, "p", "u", told).select("u", "p", "q"))
         done.append(step.where("p = q").select("u", "p"))
         going = step.where("p <> q").select("u", F.col("q").alias("p"))
         if not (n := going.count()):
             break
-        told = _hot(going, "p", n)
+        told = hot_keys(going, "p", n)
         tree = reduce(DataFrame.unionByName, [*done, going])
     tree = scratch.put(reduce(DataFrame.unionByName, done))
     to = tree.select("u", F.col("p").alias("pu"))
-    half = _lookup(edges, to, "u", "v", hot).select(F.col("v").alias("u"), F.col("pu"))
-    whole = _lookup(half, to.withColumnRenamed("pu", "pv"), "u", "pu", hot).where(F.col("pu") != F.col("pv"))
+    half = salted_lookup(edges, to, "u", "v", hot).select(F.col("v").alias("u"), F.col("pu"))
+    whole = salted_lookup(half, to.withColumnRenamed("pu", "pv"), "u", "pu", hot).where(F.col("pu") != F.col("pv"))
     return tree, scratch.put(whole.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
 
 
@@ -128,7 +107,7 @@ def connected_components(pairs: DataFrame, scratch: Scratch, src: str = "a", dst
     for tree in rounds[::-1]:
         up = out.select(F.col("u").alias("p"), F.col("p").alias("q"))
         size = tree.count()
-        out = scratch.put(_lookup(tree, up, "p", "u", _hot(tree, "p", size), "left").select("u", F.coalesce("q", "p").alias("p")))
+        out = scratch.put(salted_lookup(tree, up, "p", "u", hot_keys(tree, "p", size), "left").select("u", F.coalesce("q", "p").alias("p")))
     return out.select(F.col("u").alias("id"), F.col("p").alias("component"))
 
 
@@ -148,7 +127,7 @@ def linked_entries(entries: DataFrame, matches: DataFrame) -> DataFrame:
         .distinct()
     )
     rows = pairs.count()
-    one = _lookup(pairs, ids, "bc", "other", _hot(pairs, "bc", rows)).select(F.col("other").alias("bc"), F.col("id").alias("a"))
-    two = _lookup(one, ids, "bc", "a", _hot(pairs, "other", rows)).select("a", F.col("id").alias("b"))
+    one = salted_lookup(pairs, ids, "bc", "other", hot_keys(pairs, "bc", rows)).select(F.col("other").alias("bc"), F.col("id").alias("a"))
+    two = salted_lookup(one, ids, "bc", "a", hot_keys(pairs, "other", rows)).select("a", F.col("id").alias("b"))
     groups = connected_components(two, scratch)
     return groups.select(F.col("component").alias("group_uf_idx"), F.col("id").alias("uf_idx"))

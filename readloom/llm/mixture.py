@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions.text import label_of
 from readloom.llm import tokens
-from readloom.llm.components import _hot, _lookup
+from readloom.operators.salted import hot_keys, salted_lookup
 from readloom.session import Scratch, spread
 
 #: Hash buckets in which a seeded selection finds its cut, at each of two levels.
@@ -150,7 +150,7 @@ class Mixture:
         # at most as many members as sources are listed, so the sets are bounded
         sets = sized.where("text_key is not null").groupBy("text_key").agg(F.sort_array(F.collect_set("source")).alias("s"))
         sets = sets.where(F.size("s") > 1).select("text_key", F.array_join("s", "|").alias("set"))
-        shared = self.scratch.put(_lookup(sized, sets, "text_key", "doc_id", _hot(sized, "text_key", n), "left"))
+        shared = self.scratch.put(salted_lookup(sized, sets, "text_key", "doc_id", hot_keys(sized, "text_key", n), "left"))
         kept = shared.where("set is not null").groupBy("set").agg(F.sum("tokens").alias("t")).where(F.col("t") * PATTERNS >= F.lit(total))
         shared = shared.join(F.broadcast(kept.select("set", F.col("set").alias("pattern"))), "set", "left")
         order = F.xxhash64(F.lit(seed), "doc_id")
