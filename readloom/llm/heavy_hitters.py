@@ -63,7 +63,7 @@ def _partition_summaries(fields: list[str], capacity: int):
             for i, f in enumerate(fields):
                 counted = pc.value_counts(b.column(i).drop_null())
                 items, counts = counted.field("values"), counted.field("counts")
-                if len(items) > 8 * capacity:  # the batch's own summary: its rare items only raise the floor
+                if len(items) > capacity:  # the batch's own summary: its rare items only raise the floor
                     top = pc.select_k_unstable(counts, len(items), [("", "descending")])[: capacity + 1]
                     floor = counts[top[capacity].as_py()].as_py()
                     top = top[:capacity]
@@ -80,7 +80,7 @@ def _partition_summaries(fields: list[str], capacity: int):
 
 
 def _merge_group(capacity: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = SpaceSaving(capacity)
         for _, g in sorted(pdf.groupby("part"), key=lambda x: x[0]):
             out.merge(dict(zip(g["item"], zip(g["upper"].tolist(), g["error"].tolist()))), int(g["floor"].iloc[0]))
