@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from readloom.config import Settings
 from readloom.functions.dna import barcode_of, packed, packed_hamming, unknown_bases, without
 from readloom.operators.salted import hot_keys, salted_lookup
+from readloom.session import spread
 
 
 def extracted(reads: DataFrame, how: Settings) -> DataFrame:
@@ -45,10 +46,11 @@ def substitution_pairs(counts: DataFrame, most: int) -> DataFrame:
     cut = lambda k: F.floor(n * k / parts).cast("int")
     piece = [F.substring("barcode", cut(k) + 1, cut(k + 1) - cut(k)) for k in range(parts)]
     signs = F.array(*[F.xxhash64(n, F.lit(i), *(piece[k] for k in kept)) for i, kept in enumerate(combinations(range(parts), 2 * most))])
-    keyed = counts.select("barcode", n.alias("len"), packed(F.col("barcode")).alias("bits"), F.explode(signs).alias("sign"))
-    one, two = (keyed.select("sign", "len", F.col("barcode").alias(c), F.col("bits").alias(f"p{c}")) for c in "ab")
-    near = one.join(two, ["sign", "len"]).where((F.col("a") < F.col("b")) & (packed_hamming(F.col("pa"), F.col("pb")) <= most))
-    near = near.select("a", "b").distinct()
+    keyed = spread(counts.select("barcode")).select("barcode", F.explode(signs).alias("sign"))
+    one, two = (keyed.select("sign", F.col("barcode").alias(c)) for c in "ab")
+    # the exploded side is far larger than the table it comes from, so it must not be broadcast by that table's size
+    near = one.join(two.hint("shuffle_hash"), "sign").where((F.col("a") < F.col("b")) & (F.length("a") == F.length("b"))).select("a", "b").distinct()
+    near = near.where(packed_hamming(packed(F.col("a")), packed(F.col("b"))) <= most)
     return near.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
 
 
@@ -64,7 +66,7 @@ def indel_pairs(counts: DataFrame, most: int, fixed: bool) -> DataFrame:
     none = base.select(F.col("barcode").alias("a"), F.col("barcode").alias("b")).limit(0)
     out = none
     for k in range(1, min(most, 2) + 1):
-        signs = base.where(F.length("barcode") > k).select(F.col("barcode").alias("b"), F.explode(without(F.col("barcode"), k)).alias("s"))
+        signs = spread(base.where(F.length("barcode") > k)).select(F.col("barcode").alias("b"), F.explode(without(F.col("barcode"), k)).alias("s"))
         if fixed:
             n = F.length("barcode")
             short = base.where(n > k).select(F.col("barcode").alias("a"), F.substring("barcode", F.lit(1), n - k).alias("s"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,9 @@ from readloom.operators.barcodes import neighbour_pairs
 from readloom.operators.evaluate import placed
 from readloom.session import Scratch
 
+#: Edges that one task can finish: two barcodes and a count each.
+LAST_EDGES = 50_000
+
 
 def numbered(centroids: DataFrame) -> DataFrame:
     """Dense ids 1..K by falling count, then barcode, without a single-task window.
@@ -23,7 +29,22 @@ def numbered(centroids: DataFrame) -> DataFrame:
     return placed(ordered).select("barcode", F.col("place").alias("bcid"))
 
 
-def cluster(counts: DataFrame, how: Settings) -> DataFrame:
+def _decide(batches):
+    """The rounds of ``cluster`` for the edges that are left, in one pass by rank: who becomes a centroid."""
+    higher: dict[str, list[str]] = {}
+    reads: dict[str, int] = {}
+    for batch in batches:
+        for a, b, n in zip(*(c.to_pylist() for c in batch.columns)):
+            higher.setdefault(b, []).append(a)
+            reads[b] = n
+    central: dict[str, bool] = {}
+    for b in sorted(higher, key=lambda x: (-reads[x], len(x), x)):
+        central[b] = not any(central.get(a, True) for a in higher[b])  # one that nothing outranks is a centroid
+    if central:
+        yield pa.RecordBatch.from_arrays([pa.array(central.keys(), pa.string()), pa.array(central.values(), pa.bool_())], names=["barcode", "central"])
+
+
+def cluster(counts: DataFrame, how: Settings, last: int = LAST_EDGES) -> DataFrame:
     """(barcode, centroid, bcid): every counted barcode with the centroid that absorbs it.
 
     Barcodes rank by falling count, then length, then text. The sequential rule - the next unclaimed
@@ -31,53 +52,47 @@ def cluster(counts: DataFrame, how: Settings) -> DataFrame:
     barcode becomes a member once a higher-ranked neighbour is a centroid, a centroid once all its
     higher-ranked neighbours are members, and a member belongs to its highest-ranked centroid. Each
     round is one join and one aggregation over the undecided; its result is written to the shared
-    folder.
+    folder. Once no more than ``last`` edges are left, a fixed number, one task decides the rest.
     """
     scratch = Scratch(counts.sparkSession)
     counts = scratch.put(counts.select("barcode", "n"))
     rank = F.struct(-F.col("n"), F.length("barcode"), F.col("barcode"))
-    ranked = counts.select("barcode", rank.alias("rank"))
+    ranked = counts.select("barcode", "n", rank.alias("rank"))
     pairs = neighbour_pairs(counts, how)
-    up = (
+    up = scratch.put(
         pairs.join(ranked.select(F.col("barcode").alias("a"), F.col("rank").alias("ra")), "a")
-        .join(ranked.select(F.col("barcode").alias("b"), F.col("rank").alias("rb")), "b")
+        .join(ranked.select(F.col("barcode").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb")), "b")
         .where("ra < rb")  # a outranks b
-        .select("a", "b", "ra")
+        .select("a", "b", "ra", "nb")
     )
-    up = scratch.put(up)
-    state = ranked.select("barcode").join(up.select(F.col("b").alias("barcode")).distinct(), "barcode", "left_anti")
-    central = scratch.put(state)
-    members = None
+    fresh = scratch.put(ranked.select("barcode").join(up.select(F.col("b").alias("barcode")).distinct(), "barcode", "left_anti"))
+    central, members = [fresh], []
     # edges into undecided barcodes; those from members fall away, those from centroids decide
-    edges = up.select("a", "b")
-    fresh = central
-    while True:
-        won = edges.join(fresh.select(F.col("barcode").alias("a")), "a", "left_semi").select(F.col("b").alias("barcode")).distinct()
-        won = scratch.put(won)
-        if won.limit(1).count() == 0:
-            break
-        members = won if members is None else members.unionByName(won)
-        lost = won.select(F.col("barcode").alias("x"))
-        rest = edges.join(lost.withColumnRenamed("x", "b"), "b", "left_anti")
-        undecided = scratch.put(rest.select("b").distinct())
-        rest = scratch.put(rest.join(lost.withColumnRenamed("x", "a"), "a", "left_anti").select("a", "b"))
+    edges = up.select("a", "b", "nb")
+    while edges.count() > last:
+        won = scratch.put(edges.join(fresh.select(F.col("barcode").alias("a")), "a", "left_semi").select(F.col("b").alias("barcode")).distinct())
+        members.append(won)
+        rest = edges.join(won.withColumnRenamed("barcode", "b"), "b", "left_anti")
+        undecided = rest.select("b").distinct()
+        rest = scratch.put(rest.join(won.withColumnRenamed("barcode", "a"), "a", "left_anti").select("a", "b", "nb"))
         # with no higher-ranked neighbour left that could still become a centroid
-        fresh = scratch.put(
-            undecided.join(rest.select("b").distinct(), "b", "left_anti").select(F.col("b").alias("barcode"))
-        )
-        central = central.unionByName(fresh)
-        edges = rest.join(fresh.select(F.col("barcode").alias("b")), "b", "left_anti")
+        fresh = scratch.put(undecided.join(rest.select("b").distinct(), "b", "left_anti").select(F.col("b").alias("barcode")))
+        central.append(fresh)
+        edges = rest
+    decided = scratch.put(edges.coalesce(1).mapInArrow(_decide, "barcode string, central boolean"))
+    central.append(decided.where("central").select("barcode"))
+    members = reduce(DataFrame.unionByName, [*members, decided.where("not central").select("barcode")])
+    central = reduce(DataFrame.unionByName, central)
     central = scratch.put(central)
     own = central.select("barcode", F.col("barcode").alias("centroid"))
-    if members is not None:
-        claims = (
-            up.join(central.select(F.col("barcode").alias("a")), "a", "left_semi")
-            .join(members.select(F.col("barcode").alias("b")), "b", "left_semi")
-            .groupBy("b")
-            .agg(F.min_by("a", "ra").alias("centroid"))
-            .withColumnRenamed("b", "barcode")
-        )
-        own = own.unionByName(claims)
+    claims = (
+        up.join(central.select(F.col("barcode").alias("a")), "a", "left_semi")
+        .join(members.select(F.col("barcode").alias("b")), "b", "left_semi")
+        .groupBy("b")
+        .agg(F.min_by("a", "ra").alias("centroid"))
+        .withColumnRenamed("b", "barcode")
+    )
+    own = own.unionByName(claims)
     ids = numbered(counts.join(central, "barcode", "left_semi")).withColumnRenamed("barcode", "centroid")
     return own.join(ids, "centroid").select("barcode", "centroid", "bcid")
 
