@@ -30,9 +30,7 @@ COMMON_ROWS = 64
 #: A sequence with this share of common anchors has twice the bands, since those it may share with a partner leave
 #: the rest less alike; one with the second share is joined exactly.
 SOME_COMMON, MANY_COMMON = 1 / 8, 1 / 4
-#: Rows from which the order of the exact join is learned.
-ORDER_ROWS = 100_000
-#: Anchors a partition holds before it counts them, and counters it keeps.
+#: Substrings of one length a partition holds before it counts them, and counters it keeps.
 BUFFER = 4_000_000
 #: Pairs are formed in blocks of as many as 256 buckets of this many sequences have, so a crowded bucket takes several.
 CROWD = 64
@@ -183,70 +181,64 @@ def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[first], np.diff(np.concatenate([first, [len(codes)]]))
 
 
-def _count_substrings(size: int):
-    """Counts of the substrings that are frequent in a partition, in at most BUFFER counters (lossy counting)."""
+def _merge(c: np.ndarray, n: np.ndarray, buffer: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted codes ``c`` with their counts ``n``, and those of the buffer added."""
+    new, times = _runs(np.concatenate(buffer))
+    if not len(c):
+        return new, times
+    codes, counts = np.concatenate([c, new]), np.concatenate([n, times])
+    order = np.argsort(codes, kind="stable")  # fast, as both are sorted
+    codes, counts = codes[order], counts[order]
+    first = np.nonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))[0]
+    return codes[first], np.add.reduceat(counts, first)
+
 
-    def merge(c, n, buffer):
-        new, times = _runs(np.concatenate(buffer))
-        if not len(c):
-            return new, times
-        codes, counts = np.concatenate([c, new]), np.concatenate([n, times])
-        order = np.argsort(codes)
-        codes, counts = codes[order], counts[order]
-        first = np.nonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))[0]
-        return codes[first], np.add.reduceat(counts, first)
+def _count_substrings(sizes: tuple[int, ...]):
+    """Counts of the substrings of each size that are frequent in a partition, in at most BUFFER counters a size (lossy counting)."""
 
     def run(batches):
-        c, n, buffer, held, rows, lost = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0, 0, 0
+        none = np.empty(0, np.uint64), np.empty(0, np.int64)
+        kept, buffer, held = [none for _ in sizes], [[] for _ in sizes], [0 for _ in sizes]
+        rows, lost = 0, [0 for _ in sizes]
         for b in batches:
             letters, starts = unpack(b.column(0))
-            h, _ = substring_hashes(letters, starts, size)
             rows += len(b)
-            buffer.append(h)
-            held += len(h)
-            if held > BUFFER:
-                c, n = merge(c, n, buffer)
-                while len(c) > BUFFER // 2:
-                    lost += 1
-                    c, n = c[n > 1], n[n > 1] - 1
-                buffer, held = [], 0
-        if held:
-            c, n = merge(c, n, buffer)
-        often = n >= max(2, rows * COMMON * 0.8 - lost)
-        yield pa.RecordBatch.from_arrays([pa.array(c[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["code", "n"])
+            for i, size in enumerate(sizes):
+                h, _ = substring_hashes(letters, starts, size)
+                buffer[i].append(h)
+                held[i] += len(h)
+                if held[i] > BUFFER:
+                    c, n = _merge(*kept[i], buffer[i])
+                    while len(c) > BUFFER // 2:
+                        lost[i] += 1
+                        c, n = c[n > 1], n[n > 1] - 1
+                    kept[i], buffer[i], held[i] = (c, n), [], 0
+        for i, size in enumerate(sizes):
+            c, n = _merge(*kept[i], buffer[i]) if held[i] else kept[i]
+            often = n >= max(2, rows * COMMON * 0.8 - lost[i])
+            code, n = c[often].view(np.int64), n[often].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), size, np.int32)), pa.array(code), pa.array(n)], names=["size", "code", "n"])
 
     return run
 
 
-def common_anchors(seqs: DataFrame, rows: int) -> np.ndarray:
-    """Sorted hashes of the anchors found in at least COMMON of the rows; all rows are counted.
+def frequent_substrings(seqs: DataFrame, rows: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Sorted hashes of the common anchors, and sorted hashes of the frequent shingles with their counts.
 
-    There are at most (mean anchors of a sequence)/COMMON such anchors, whatever the number of rows, so
+    Common anchors are found in at least COMMON of the rows, and frequent shingles too. All rows are counted, in one
+    pass for both. There are at most (mean substrings of a sequence)/COMMON of either, whatever the number of rows, so
     they may go to the driver and into the tasks. Counts are lower bounds: an anchor spread so
-    thinly that a partition drops it may stay in use, which costs time but loses no pair.
-    """
-    least = max(int(COMMON * rows), COMMON_ROWS)
-    got = seqs.mapInArrow(_count_substrings(ANCHOR), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    found = got.select("code").toPandas()["code"].to_numpy(np.int64)
-    return np.sort(found.view(np.uint64))
-
-
-def scale_of(rows: int) -> int:
-    """Of how many rows one is counted to learn the order of the exact join."""
-    return max(1, rows // ORDER_ROWS)
-
-
-def shingle_order(seq: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of frequent shingles and their counts in about ORDER_ROWS of the rows.
-
-    The exact join is right with any order; one that puts frequent shingles last leaves it few candidates.
+    thinly that a partition drops it may stay in use, which costs time but loses no pair. In a partition a count falls short by
+    0.8 COMMON of its rows, or by one more than their substrings / (BUFFER / 2), at most. The exact join is right with
+    any order of the shingles; one that puts frequent ones last leaves it few candidates.
     """
-    some = seq.where(F.pmod(F.xxhash64("read_idx"), F.lit(scale_of(rows))) == 0).select("packed")
-    got = some.mapInArrow(_count_substrings(SHINGLE), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    got = got.where(F.col("n") >= max(int(COMMON * min(rows, ORDER_ROWS)), 4)).toPandas()
-    codes = got["code"].to_numpy(np.int64).view(np.uint64)
+    least = F.when(F.col("size") == ANCHOR, max(int(COMMON * rows), COMMON_ROWS)).otherwise(max(int(COMMON * rows), 4))
+    got = seqs.mapInArrow(_count_substrings((ANCHOR, SHINGLE)), "size int, code long, n long")
+    got = got.groupBy("size", "code").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
+    size, codes, n = got["size"].to_numpy(), got["code"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
     by = np.argsort(codes)
-    return codes[by], got["n"].to_numpy(np.int64)[by]
+    size, codes, n = size[by], codes[by], n[by]
+    return codes[size == ANCHOR], (codes[size == SHINGLE], n[size == SHINGLE])
 
 
 def _prefixes(hashes: np.ndarray, begin: np.ndarray, order: tuple[np.ndarray, np.ndarray], threshold: float):
@@ -292,7 +284,7 @@ def _band_rows(common: np.ndarray, order: tuple[np.ndarray, np.ndarray], scale:
 
     Even ones are band keys, of a sequence's least rare anchor under each permutation. Odd ones are shingles of
     sequences that are joined exactly, with the side, the number of shingles and of those left (``at``: side << 60 | size << 32 |
-    left; 2, 1 and 1 in the rows of bands, so that all of a bucket pair). ``order`` counts one of ``scale`` sequences.
+    left; 2, 1 and 1 in the rows of bands, so that all of a bucket pair). ``order`` counts one of ``scale`` sequences, 1 being all.
     """
 
     def batch(key, ids, rows, at):
@@ -519,9 +511,9 @@ class NearDuplicates:
         """(a, b, s) of the representatives a < b whose similarity s reaches the threshold."""
         n = self.rows.count()
         seq = self.rows.mapInArrow(_packed, "read_idx long, packed binary")
-        common, order = common_anchors(seq.select("packed"), n), shingle_order(seq, n)
+        common, order = frequent_substrings(seq.select("packed"), n)
         reps = seq.groupBy("packed").agg(F.min("read_idx").alias("id")).select("id", "packed")
-        bands = reps.mapInArrow(_band_rows(common, order, scale_of(n), self.threshold), "key long, id long, at long")
+        bands = reps.mapInArrow(_band_rows(common, order, 1, self.threshold), "key long, id long, at long")
         pairs = bands.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs_in_runs(self.threshold), "a long, b long")
         pairs = pairs.repartition("a").dropDuplicates(["a", "b"])
         full = pairs.join(seq.select(F.col("read_idx").alias("a"), F.col("packed").alias("sa")), "a")

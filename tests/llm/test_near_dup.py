@@ -102,6 +102,23 @@ def test_exact_join_at_odd_sizes(monkeypatch):
     assert truth(list(enumerate(seqs))) <= set(want)
 
 
+def test_order_of_exact_join_counts_all_rows(spark, monkeypatch):
+    """Not those of a sample: the counts that _band_rows is given are the whole table's."""
+    monkeypatch.setattr(nd, "ORDER_ROWS", 20, raising=False)
+    real, given = nd._band_rows, []
+    monkeypatch.setattr(nd, "_band_rows", lambda common, order, *rest: given.append((order, *rest)) or real(common, order, *rest))
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ACGT") for _ in range(30)) for _ in range(2)]
+    rows = list(enumerate([texts[0]] * 60 + [texts[1]] * 140 + ["".join(rng.choice("ACGT") for _ in range(100)) for _ in range(40)]))
+    nd.NearDuplicates(frame(spark, rows)).class_pairs()
+    (((codes, counts), scale, _),) = given
+    want = {}
+    for text, n in zip(texts, (60, 140)):
+        h, _ = nd.substring_hashes(*nd.unpack(nd.pack(pa.array([text]))), nd.SHINGLE)
+        want |= dict.fromkeys(h.tolist(), n)
+    assert scale == 1 and dict(zip(codes.tolist(), counts.tolist())) == want
+
+
 def test_crowded_buckets_pair_whole():
     """Each member shares the family's least anchor of a band with all others, and its next one with few."""
     rng = random.Random(7)
