@@ -222,6 +222,13 @@ def test_unaligned_consensus(spark):
     assert rates["calls"] > 0 and 0 <= rates["missense_rate"] <= 1
 
 
+@pytest.mark.parametrize("copies", [81, 400])
+def test_strong_evidence_has_the_highest_quality(spark, copies):
+    # from 81 reads at Q40 on, the other classes' probabilities are 0 in floats
+    made = consensus(frame(spark, {1: [("ACGT", "IIII")] * copies}), Settings(align=False)).first()
+    assert (made["count"], made.seq, made.qual, made.minor_frac_max, made.missense) == (copies, "ACGT", "IIII", 0.0, 0)
+
+
 def test_pipeline_keeps_every_read(spark):
     rng = random.Random(8)
     bases = ["".join(rng.choice("ACGT") for _ in range(40)) for _ in range(6)]
