@@ -54,6 +54,15 @@ def settings(mm, indels, fixed):
     return Settings(extraction=how, max_mismatches=mm)
 
 
+@pytest.mark.parametrize("fixed", [True, False])
+def test_deletions_are_never_broadcast(spark, tmp_path, fixed):
+    # by its size estimate, that of the small file, Spark would
+    counts = made(random.Random(7), 60, [5, 6])
+    spark.createDataFrame(list(counts.items()), "barcode string, n long").write.parquet(str(tmp_path / "counts"))
+    pairs = indel_pairs(spark.read.parquet(str(tmp_path / "counts")), 2, fixed)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("mm,indels,fixed", CASES)
 def test_neighbours_and_clusters(spark, mm, indels, fixed):
     counts = made(random.Random(mm * 100 + indels * 10 + fixed), 120, [5] if fixed else [4, 5, 6])
