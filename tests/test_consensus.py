@@ -229,6 +229,12 @@ def test_strong_evidence_has_the_highest_quality(spark, copies):
     assert (made["count"], made.seq, made.qual, made.minor_frac_max, made.missense) == (copies, "ACGT", "IIII", 0.0, 0)
 
 
+def test_a_strong_group_without_its_barcode_is_a_failed_record(spark):
+    how = Settings(extraction=Extraction(length=20), align=False)
+    reads = frame(spark, {1: [("ACGT", "IIII")] * 90})
+    assert [r.value for r in failed_lines(records(consensus(reads, how), how), reads).collect()] == ["@bcid=1;count=90\nACGT\n+\nIIII"]
+
+
 def test_pipeline_keeps_every_read(spark):
     rng = random.Random(8)
     bases = ["".join(rng.choice("ACGT") for _ in range(40)) for _ in range(6)]
